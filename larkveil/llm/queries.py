@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkveil.llm import chat_format, line_dedup, merkle, piece_fst
+from larkveil.llm import ball_tree, chat_format, line_dedup, merkle, packing, piece_fst, resampling, surrogates, tag_paths
 from larkveil.llm.common import ship, table
 
 
@@ -30,10 +30,40 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tag_paths.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_report(table(spark, sf_dir, "documents"))
 
 
+def op8_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are drawn; those that the filter rejects aren't returned."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", "log_ratio", "draw_key")
+
+
+def split_pattern() -> str:
+    """How the byte-level vocabulary splits texts before its merges."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql(
@@ -44,8 +74,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chat(parts))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op6_merkle_fingerprints, op10_chat_format)}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op6_merkle_fingerprints": merkle.ORACLE, "op10_chat_format": chat_format.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_surrogates, op4_ball_tree, op5_tag_paths, op6_merkle_fingerprints, op8_resampling, op9_packing, op10_chat_format)}
+ORACLES = {"op4_ball_tree": ball_tree.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_merkle_fingerprints": merkle.ORACLE, "op10_chat_format": chat_format.ORACLE}
 
 
 def queries() -> dict:
