@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkveil.llm import ball_tree, chat_format, line_dedup, merkle, packing, piece_fst, resampling, surrogates, tag_paths
+from larkveil.llm import ball_tree, chat_format, line_dedup, merkle, minhash, packing, piece_fst, resampling, surrogates, tag_paths
 from larkveil.llm.common import ship, table
 
 
@@ -19,8 +19,7 @@ def tokenizer(name: str) -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back (``▁`` counts as a space)."""
     model = tokenizer("piece_bpe_32k.model")
-    coded = piece_fst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    both = piece_fst.decode(coded, model)
+    both = piece_fst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
     same = F.col("decoded").eqNullSafe(F.replace(F.col("text"), F.lit(piece_fst.SPACE), F.lit(" ")))
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("same"))
 
@@ -47,6 +46,10 @@ def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_report(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are drawn; those that the filter rejects aren't returned."""
     drawn = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -74,7 +77,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chat(parts))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_surrogates, op4_ball_tree, op5_tag_paths, op6_merkle_fingerprints, op8_resampling, op9_packing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_surrogates, op4_ball_tree, op5_tag_paths, op6_merkle_fingerprints, op7_minhash, op8_resampling, op9_packing, op10_chat_format)}
 ORACLES = {"op4_ball_tree": ball_tree.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op6_merkle_fingerprints": merkle.ORACLE, "op10_chat_format": chat_format.ORACLE}
 
 
