@@ -38,8 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Kept paths of parts for each worker; about 150 bytes each.
-KEEP = 600_000
+#: Kept paths of parts for each worker; some 300 bytes each.
+KEEP = 300_000
+#: Rows that are held as Python objects at a time.
+ROWS = 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -153,7 +155,7 @@ class PieceTransducer:
         known = self._pairs.get((a, b))
         if known is not None:
             return known
-        if len(self._pairs) >= 4 * KEEP:
+        if len(self._pairs) >= KEEP:
             self._pairs.clear()
         rank, ok = self._rank, len(b) == 1 or self._last_merge(b) is not None
         left, right, limit = a, b, float("inf")
@@ -291,21 +293,33 @@ def transducer(path: str) -> PieceTransducer:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` as array<int> column ``ids`` (replaced if it's there)."""
-    kept = [c for c in docs.columns if c.lower() != ids.lower()]
-    schema = T.StructType([*docs.select(kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text`` as array<int> column ``ids`` (replaced if it's there).
+
+    ``decoded`` adds what decoding the ids gives, in the same pass.
+    """
+    kept = [c for c in docs.columns if c.lower() not in (ids.lower(), (decoded or ids).lower())]
+    schema = T.StructType([*docs.select(kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            coded = [None if t is None else machine.encode_bytes(t) for t in texts]
-            yield _with_lists(b, ids, kept, coded)
+        for b in _slices(batches):
+            coded = [None if (t := x.as_py()) is None else machine.encode_bytes(t) for x in b.column(b.schema.get_field_index(text))]
+            out = _with_lists(b, ids, kept, coded)
+            if decoded:
+                texts = [None if c is None else machine.decode(np.frombuffer(c, "<u4").tolist()) for c in coded]
+                out = out.append_column(decoded, pa.array(texts, pa.string()))
+            yield out
 
     return docs.mapInArrow(run, schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, len(b), ROWS):
+            yield b.slice(i, ROWS)
+
+
 def _with_lists(batch: pa.RecordBatch, name: str, kept: list[str], coded: list[bytes | None]) -> pa.RecordBatch:
     ends = np.cumsum([0] + [len(c or b"") // 4 for c in coded])
     values = pa.array(np.frombuffer(b"".join(c for c in coded if c), "<i4"))
@@ -320,7 +334,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
-        for b in batches:
+        for b in _slices(batches):
             lists = b.column(b.schema.get_field_index(ids))
             texts = pa.array([None if x is None else machine.decode(x) for x in _lists(lists)], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in kept), texts], names=[*kept, text])
@@ -330,6 +344,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
 
 def _lists(column: pa.Array) -> Iterator[list[int] | None]:
     """The lists of a column one by one, so that Python numbers of one row exist at a time."""
-    values, offsets, valid = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    valid, offsets = column.is_valid().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
     for i in range(len(column)):
         yield values[offsets[i] : offsets[i + 1]].tolist() if valid[i] else None
