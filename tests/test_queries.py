@@ -1,0 +1,36 @@
+"""Every registered query against its SQL, on the smallest tables."""
+
+import pytest
+
+from larkveil.plans import queries as Q
+from tests.oracle import connect, same
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_against_sql(spark, con, name):
+    same(Q.QUERIES[name](spark, SF), Q.ORACLES[name], con)
+
+
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
+def test_runs(spark, name):
+    assert Q.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stream_does_not_depend_on_where_it_is_cut(spark):
+    out = {r["stream_id"]: r["out"] for r in Q.QUERIES["event_stream"](spark, SF).collect()}
+    assert out["whole"] == out["cut"]
+    assert "Dear " in out["whole"] and "Keller" in out["whole"] and "k@firma.de" in out["whole"] and "PERSON_001" not in out["whole"]
