@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkveil.functions import spans as S
 from larkveil.functions import validators as V
+from larkveil.functions import web as W
 from larkveil.operators import detect as D
 from larkveil.operators import entities as E
 from larkveil.operators import intervals as I
@@ -108,6 +109,38 @@ def query_pairs(spark, sf_dir):
     return found.select("page_id", "p.key", "p.value")
 
 
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+
+
+@query(f"SELECT page_id, CASE WHEN {_HOST} = 'example.org' OR ends_with({_HOST}, '.example.org') THEN 'CUSTOMER_DOMAIN' WHEN regexp_matches({_HOST}, '[.](local|internal|corp|lan)$') THEN 'INTERNAL_DOMAIN' ELSE 'FQDN' END AS cls FROM pages")
+def host_classes(spark, sf_dir):
+    host = F.try_parse_url("url", F.lit("HOST"))
+    return table(spark, sf_dir, "pages").select("page_id", W.host_class(host, F.lit("FQDN"), customer=["example.org"]).alias("cls"))
+
+
+@query("SELECT page_id, CASE WHEN contains(" + _HOST + ", '.') THEN 'URL' ELSE 'INTERNAL_URL' END AS cls FROM pages")
+def url_classes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", W.url_class(F.col("url")).alias("cls"))
+
+
+@query(R.NAMED_SQL)
+def named_values(spark, sf_dir):
+    """Cookie, query and standard names, web tokens."""
+    v = F.col("value")
+    return spark.sql(R.NAMED).select("value", W.cookie_class(v).alias("cookie"), W.query_secret(v).alias("secret"), W.is_standard(v).alias("standard"), W.is_web_token(v).alias("web_token"))
+
+
+@query(
+    f"SELECT doc_id, start, coalesce(regexp_matches(substr(text, CAST(greatest(1, start - 39) AS BIGINT), CAST(least(40, start) AS BIGINT)), '(?i)(^|[^A-Za-z0-9])(the|und|de)($|[^A-Za-z0-9])'), FALSE) AS near "
+    f"FROM ({R.spans_sql('documents', 'doc_id', 'text', R.IPV4_RE2)}) JOIN documents USING (doc_id)"
+)
+def context_gate(spark, sf_dir):
+    """Whether one of some words stands in the forty characters before each address."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d\.\d"))
+    found = docs.select("doc_id", "text", F.explode(S.find_spans(F.col("text"), IPV4)).alias("s"))
+    return found.select("doc_id", F.col("s.start").cast("long").alias("start"), W.has_word(F.col("text"), F.col("s.start"), ["the", "und", "de"]).alias("near"))
+
+
 # --- the whole detector over whole tables ---
 
 

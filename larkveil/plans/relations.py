@@ -92,6 +92,14 @@ VALID_SQL = {
 }
 
 
+NAMED = "SELECT * FROM (VALUES ('sessionid'), ('AUTH'), ('_csrf'), ('api_key'), ('ISO-9001'), ('XY-12'), ('eyJhbGciOiJIUzI1NiJ9.e30.x'), ('e30.e30.x'), ('a.b')) AS t(value)"
+NAMED_SQL = (
+    "SELECT value, cookie, secret, standard, web_token FROM (VALUES ('sessionid', 'SESSION_COOKIE', NULL, FALSE, FALSE), ('AUTH', 'AUTH_COOKIE', NULL, FALSE, FALSE), ('_csrf', 'CSRF_TOKEN', NULL, FALSE, FALSE), "
+    "('api_key', NULL, 'API_KEY', FALSE, FALSE), ('ISO-9001', NULL, NULL, TRUE, FALSE), ('XY-12', NULL, NULL, FALSE, FALSE), ('eyJhbGciOiJIUzI1NiJ9.e30.x', NULL, NULL, FALSE, TRUE), "
+    "('e30.e30.x', NULL, NULL, FALSE, FALSE), ('a.b', NULL, NULL, FALSE, FALSE)) AS t(value, cookie, secret, standard, web_token)"
+)
+
+
 def _rows(columns: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
 

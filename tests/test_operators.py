@@ -104,3 +104,25 @@ def test_streams_with_state(spark, tmp_path):
     q.awaitTermination(120)
     out = b"".join(bytes(r["out"]) for r in spark.table("chunks").orderBy("seq").collect()).decode()
     assert "Keller" in out and "k@firma.de" in out and "_001" not in out
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from larkveil import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Frau Keller, a@firma.de")
+    (tmp_path / "in" / "b.txt").write_text("unknown <EMAIL_009>, b@firma.de")
+    out, key = str(tmp_path / "out"), str(tmp_path / "key")
+    assert cli.main(["validate", "--input", str(tmp_path / "in"), "--format", "json"]) == 2
+    assert capsys.readouterr().out.strip() == '{"EMAIL":2,"PERSON_LAST_NAME":1,"SALUTATION":1}'
+    assert cli.main(["pseudonymize", "--input", str(tmp_path / "in"), "--out", out, "--key", key]) == 2
+    row = spark.read.parquet(f"{out}/texts").first()
+    assert row["text"] == "Frau <PERSON_FEMALE_001>, <EMAIL_001>" and spark.read.parquet(f"{out}/mappings").count() == 2
+    spark.createDataFrame([("1", row["session_id"], "to <EMAIL_001>")], "doc string, session_id string, text string").write.json(str(tmp_path / "answers"))
+    assert cli.main(["restore", "--input", str(tmp_path / "answers"), "--vault", out, "--key", key, "--out", str(tmp_path / "back")]) == 0
+    assert spark.read.json(str(tmp_path / "back")).first()["text"] == "to a@firma.de"
+    assert cli.main(["vault", "purge", "--vault", out, "--session", row["session_id"], "--out", str(tmp_path / "left")]) == 0
+    assert spark.read.parquet(str(tmp_path / "left" / "mappings")).count() == 0
+    assert cli.main(["classes"]) == 0 and len(capsys.readouterr().out.strip().split("\n")) == 140
+    (tmp_path / "bad.json").write_text('{"nope": 1}')
+    assert cli.main(["classes", "--config", str(tmp_path / "bad.json")]) == 1
