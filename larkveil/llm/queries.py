@@ -52,7 +52,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are drawn; those that the filter rejects aren't returned."""
-    drawn = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    drawn = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), with_text=False)
     return drawn.select("doc_id", "log_ratio", "draw_key")
 
 

@@ -13,8 +13,8 @@ neighbours; a pair of equal tokens counts as one n-gram "=", so texts that repea
 whatever the word is. Pairs and tokens are hashed into ``BUCKETS`` buckets. The target model is
 smoothed towards the raw one (``PRIOR`` of its size), which bounds each ratio from below.
 
-All of it is DataFrame functions: counts are aggregated before the shuffle to at most two rows for
-each bucket and task; the driver sees the two models (2 * BUCKETS numbers), the labelled sample's
+Texts are read in Arrow batches and hashed by array arithmetic; counts are added up to at most a
+row for each bucket and task before the shuffle; the driver sees the two models (2 * BUCKETS numbers), the labelled sample's
 weights (``SAMPLE`` numbers) and histograms of the keys (``BINS`` numbers), whatever the input's
 size. The k-th key is found by refining a histogram, so there is no sort of all rows.
 
@@ -26,12 +26,15 @@ and go or stay together; rows that tie with the k-th key stay.
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkveil.llm.common import cut, fresh_name
 
@@ -43,17 +46,64 @@ SHRINK = 10
 TEMPERATURE = 0.02
 SEED = 20_24
 BINS = 4_096
-TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 
-
-def ngrams(text: Column) -> Column:
-    """The buckets of a text's n-grams, from 0."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    single = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
-    after = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    pair = lambda a, b: F.when(a == b, F.lit("=")).otherwise(F.concat_ws(" ", a, b))
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), after, lambda a, b: F.pmod(F.xxhash64(pair(a, b)), F.lit(BUCKETS)).cast("int"))
-    return F.concat(single, pairs)
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+#: 0 white space, 1 letters and digits (every byte beyond ASCII), 2 other signs
+_KIND = np.array([1 if c >= 128 or chr(c).isalnum() else 0 if chr(c) in " \t\n\r\x0b\x0c" else 2 for c in range(256)], np.uint8)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's factor and of its inverse modulo 2**64, kept for the next batch."""
+    if len(_POWERS[0]) < n:
+        for i, factor in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 20), factor, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of some texts, and which text each belongs to.
+
+    A token's hash is a difference of running sums over the bytes of all texts, moved back to where
+    the token begins, so nothing is done token by token.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    n = len(data)
+    power, inverse = _powers(n)
+    kind = _KIND[data]
+    borders = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    start, end = np.concatenate([[0], borders]), np.concatenate([borders, [n]])
+    own = kind[start] != 0
+    start, end = start[own], end[own]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    token = _mix((sums[end] - sums[start]) * inverse[start])
+    text = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), start, "right")
+    beside = np.flatnonzero(text[1:] == text[:-1])
+    a, b = token[beside], token[beside + 1]
+    pair = np.where(a == b, np.uint64(1), _mix(a * np.uint64(3) + b))
+    return (np.concatenate([token, pair]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([text, text[beside]])
+
+
+def _batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of about a megabyte of text."""
+    for b in batches:
+        column = b.column(b.schema.get_field_index(text))
+        at, size, own = 0, 0, []
+        for i, x in enumerate(column):
+            own.append(x.as_py())
+            size += len(own[-1] or "")
+            if size > 500_000 or i + 1 == len(b):
+                yield b.slice(at, len(own)), own
+                at, size, own = i + 1, 0, []
 
 
 def labelled_sample(labels: DataFrame, key: str = "doc_id", label: str = "quality", most: int = SAMPLE) -> DataFrame:
@@ -69,32 +119,51 @@ class Models:
     ratios: tuple[float, ...]
     cut: float | None
 
-    def weight(self, text: Column) -> Column:
-        table = F.from_json(F.lit(json.dumps([round(x, 6) for x in self.ratios])), "array<double>")
-        grams = ngrams(text)
-        return F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(table, b)) / (F.size(grams) + SHRINK)
+    def weighed(self, docs: DataFrame, text: str = "text", out: str = "log_ratio") -> DataFrame:
+        """``docs`` with the weights of ``text`` as column ``out`` (replaced if it's there)."""
+        kept = [c for c in docs.columns if c.lower() != out.lower()]
+        schema = T.StructType([*docs.select(kept).schema.fields, T.StructField(out, T.DoubleType())])
+        table = np.array(self.ratios)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, texts in _batches(batches, text):
+                gram, row = ngrams(texts)
+                w = np.bincount(row, table[gram], len(texts)) / (np.bincount(row, minlength=len(texts)) + SHRINK)
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in kept), pa.array(w)], names=[*kept, out])
+
+        return docs.select(kept).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Models:
     """Both models, and the cut that the labelled sample gives."""
     sample = cut(labelled_sample(labels, key, label))
-    own, good, gram = (fresh_name(docs.columns, x) for x in ("key", "good", "gram"))
-    marks = F.broadcast(sample.select(F.col(key).alias(own), F.col("good").alias(good)))
-    marked = docs.select(key, text).join(marks, F.col(key) == F.col(own), "left")
-    counted = marked.select((F.coalesce(F.col(good), F.lit(0)) == 1).alias(good), F.explode(ngrams(F.col(text))).alias(gram)).groupBy(gram, good).agg(F.count("*").alias("n"))
+    labelled = {r[key]: r["good"] == 1 for r in sample.collect()}  # at most SAMPLE
+    wanted = frozenset(i for i, g in labelled.items() if g)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, liked = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for b, texts in _batches(batches, text):
+            gram, row = ngrams(texts)
+            mark = np.array([k in wanted for k in b.column(b.schema.get_field_index(key)).to_pylist()], bool)
+            seen += np.bincount(gram, minlength=BUCKETS)
+            liked += np.bincount(gram[mark[row]], minlength=BUCKETS)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(liked[some])], names=["gram", "n", "good"])
+
+    counted = docs.select(key, text).mapInArrow(count, "gram long, n long, good long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for g, is_good, n in counted.collect():  # at most 2 * BUCKETS rows
-        raw[g] += n
-        if is_good:
-            target[g] += n
+    for r in counted.collect():  # at most BUCKETS rows
+        raw[r["gram"]], target[r["gram"]] = r["n"], r["good"]
     all_raw, all_target = sum(raw), sum(target)
     if not all_target:
         return Models((0.0,) * BUCKETS, None)
     prior = PRIOR * all_target
     ratio = [math.log((t + prior * r / all_raw) / (all_target + prior) * all_raw / r) if r else 0.0 for r, t in zip(raw, target)]
     models = Models(tuple(ratio), None)
-    seen = docs.select(key, text).join(marks, F.col(key) == F.col(own)).select(F.col(good), models.weight(F.col(text)).alias("w"))
-    return Models(models.ratios, best_cut([(x["w"], x[good] == 1) for x in seen.collect()]))  # at most SAMPLE documents
+    name = fresh_name(docs.columns, "key")
+    picked = docs.select(key, text).join(F.broadcast(sample.select(F.col(key).alias(name))), F.col(key) == F.col(name), "left_semi")
+    seen = models.weighed(picked, text, "w").select(key, "w").collect()  # of at most SAMPLE ids
+    return Models(models.ratios, best_cut([(r["w"], labelled[r[key]]) for r in seen]))
 
 
 def best_cut(rows: list[tuple[float, bool]]) -> float | None:
@@ -139,14 +208,16 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows that are drawn, with log_ratio and draw_key."""
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", with_text: bool = True) -> DataFrame:
+    """The rows that are drawn, with log_ratio and draw_key; without texts and other columns if not ``with_text``."""
     models = fit(docs, labels, key, text, label)
-    scored = docs.withColumn("log_ratio", models.weight(F.col(text))).withColumn("draw_key", gumbel_key(F.col("log_ratio"), key))
+    scored = models.weighed(docs, text).withColumn("draw_key", gumbel_key(F.col("log_ratio"), key))
     if models.cut is None:
-        return scored
-    keys = cut(scored.select("log_ratio", "draw_key"))
+        return scored if with_text else scored.select(key, "log_ratio", "draw_key")
+    light = models.weighed(docs.select(key, text), text).select(key, "log_ratio")
+    keys = cut(light.withColumn("draw_key", gumbel_key(F.col("log_ratio"), key)))
     k = keys.where(F.col("log_ratio") >= models.cut).count()
     if not k:
-        return scored.limit(0)
-    return scored.where(F.col("draw_key") >= kth_largest(keys, "draw_key", k))
+        return (scored if with_text else keys).limit(0)
+    drawn = F.col("draw_key") >= kth_largest(keys, "draw_key", k)
+    return (scored if with_text else keys).where(drawn)
