@@ -21,6 +21,7 @@ LENIENT_TOKEN = (
 )
 GENDERS = ("female", "male")
 LEAST_FUZZY, LEAST_DIGITS = 4, 6
+KEPT_RESULTS = 256
 # --- End of fixed values ---
 
 _TOKEN, _TOKEN_OR_MARK, _LENIENT = map(re.compile, (TOKEN, TOKEN_OR_MARK, LENIENT_TOKEN))
@@ -153,12 +154,12 @@ def _places(text: str, value: str, views: dict) -> set[tuple[int, int]]:
         return (m.span() for m in re.finditer(f"(?i){before}{re.escape(needle)}{after}", where) if m.end() > m.start())
 
     out = set(search(value, text, not digits))
-    spaced = views.setdefault("spaced", None) or views.__setitem__("spaced", one_spaced(text)) or views["spaced"]
+    spaced = views.get("spaced") or views.setdefault("spaced", one_spaced(text))
     needle = " ".join(re.split(r"\s+", value)).strip()
     if needle:
         out |= {spaced.span(*s) for s in search(needle, spaced.text, not digits)}
     if len(digits) >= LEAST_DIGITS:
-        only = views.setdefault("digits", None) or views.__setitem__("digits", digits_of(text)) or views["digits"]
+        only = views.get("digits") or views.setdefault("digits", digits_of(text))
         out |= {only.span(*s) for s in search(digits, only.text, False)}
     return out
 
@@ -233,7 +234,8 @@ class Session:
 
     def pseudonymize(self, text: str) -> tuple[str | None, list[Leak]]:
         """The rewritten text, or None and its leaks."""
-        if text in self._done:
+        if text in self._done:  # checked when it was first made; used again, it is the youngest
+            self._done[text] = self._done.pop(text)
             return self._done[text], []
         known, counters = self.known(), dict(self.counters)
         report = self.detector.detect(text, known)
@@ -250,4 +252,6 @@ class Session:
             self._known = None
         self.entries, self.counters = entries, counters
         self._done[text] = out
+        if len(self._done) > KEPT_RESULTS:
+            del self._done[next(iter(self._done))]
         return out, []
