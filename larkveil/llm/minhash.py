@@ -55,7 +55,7 @@ LEAST_ESTIMATE = PERCENT / 100 - 5 * (_P * (1 - _P) / MINIMA) ** 0.5 / (1 - 2.0*
 DELTA = (100 - PERCENT) / (100 + PERCENT)
 #: Nodes less like their hub than this percentage are their own anchor.
 NEAR = 40
-#: Ids that may be broadcast: 8 bytes each, so 8 MB at most.
+#: Ids that may be broadcast, with a digest of 16 bytes: some 60 MB as a hash table at most.
 BROADCAST_IDS = 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -194,10 +194,16 @@ def _among(anchored: DataFrame) -> DataFrame:
     half = F.floor(d * (1 - DELTA) / 2 - 1e-9).cast("int") + 1  # overlap with a node that isn't linked with the anchor, at least
     weak = F.greatest(F.lit(1), F.ceil((d - DELTA * (F.col("n_a") + F.col("n_b"))) / (1 + DELTA) - 1e-9).cast("int"))
     rows = anchored.where("near AND a <> b").select(F.col("b").alias("anchor"), "a", "n_a", "linked", "diff", F.greatest(F.lit(0), d - half + 1).alias("index"), (d - weak + 1).alias("probe"))
-    index = rows.select("anchor", F.col("a").alias("y"), F.explode(F.slice("diff", F.lit(1), F.col("index"))).alias("e"))
-    probe = rows.where("NOT linked").select("anchor", F.col("a").alias("x"), F.explode(F.slice("diff", F.lit(1), F.col("probe"))).alias("e"))
-    # a pair of two unlinked nodes is met from both sides; one is enough
-    pairs = probe.join(index, ["anchor", "e"]).where("x <> y").select("anchor", "x", "y").distinct()
+
+    def first(side: str, how_many: str, name: str) -> DataFrame:
+        cells = F.posexplode(F.slice("diff", F.lit(1), F.col(how_many))).alias(f"at_{name}", "e")
+        return rows.where(side).select("anchor", F.col("a").alias(name), F.col("n_a").alias(f"m_{name}"), F.size("diff").alias(f"s_{name}"), cells)
+
+    met = first("NOT linked", "probe", "x").join(first("true", "index", "y"), ["anchor", "e"])
+    # what this pair must share, and so how far from the end its first shared element stands at least
+    share = F.greatest(F.lit(1), F.ceil((F.col("s_x") + F.col("s_y") - DELTA * (F.col("m_x") + F.col("m_y"))) / 2 - 1e-9))
+    early = (F.col("at_x") + share <= F.col("s_x")) & (F.col("at_y") + share <= F.col("s_y"))
+    pairs = met.where((F.col("x") != F.col("y")) & early).select("anchor", "x", "y").distinct()
     x = rows.select("anchor", F.col("a").alias("x"), F.col("n_a").alias("n_x"), F.col("diff").alias("d_x"))
     y = rows.select("anchor", F.col("a").alias("y"), F.col("n_a").alias("n_y"), F.col("diff").alias("d_y"))
     both = pairs.join(x, ["anchor", "x"]).join(y, ["anchor", "y"])
