@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
+from larkveil.plans.shipping import ship
+
+__all__ = ["cut", "fresh_name", "release", "shared_dir", "ship", "table"]
+
+#: Tables that ``cut`` has written in this process.
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     fresh = tempfile.mkdtemp(prefix="larkveil-shared-")
+    atexit.register(shutil.rmtree, fresh, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{fresh}")
     return f"file://{fresh}"
 
@@ -42,21 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkveil-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors where PYTHONPATH doesn't do it already."""
-    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if str(ROOT) in paths or Path.cwd() == ROOT or getattr(spark.sparkContext, "_larkveil_sent", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="larkveil-zip-")) / "larkveil.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in (ROOT / "larkveil").rglob("*"):
-            if p.suffix in (".py", ".txt"):
-                z.write(p, p.relative_to(ROOT))
-    spark.sparkContext.addPyFile(str(target))
-    spark.sparkContext._larkveil_sent = True
+def release(spark: SparkSession) -> None:
+    """Delete what ``cut`` has written in this process; results that weren't written yet can't be read after it."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_name(taken: Iterable[str], stem: str) -> str:
@@ -66,8 +64,3 @@ def fresh_name(taken: Iterable[str], stem: str) -> str:
     while name.lower() in low:
         name += "_"
     return name
-
-
-def collapse_nulls(text) -> F.Column:
-    """A text column with null read as empty."""
-    return F.coalesce(text, F.lit(""))
