@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from larkveil.plans.shipping import ship
+from larkveil.plans import shipping
 
-__all__ = ["cut", "fresh_name", "release", "shared_dir", "ship", "table"]
+#: Rows in an Arrow batch: texts can be long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1_000
 
 #: Tables that ``cut`` has written in this process.
 _WRITTEN: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """The package on the executors, and batches of texts of a moderate size unless the session sets its own."""
+    shipping.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A kernel that hands freed memory back at the end of its task: Python workers live on for later tasks."""
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return leaner
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark only, so any store that Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

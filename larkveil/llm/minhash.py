@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkveil.llm.common import cut, fresh_name
+from larkveil.llm.common import cut, fresh_name, lean
 from larkveil.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "digest", "bands", "planes"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, n long, digest binary, bands array<long>, planes array<long>")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(lean(run), "id long, n long, digest binary, bands array<long>, planes array<long>")
 
 
 def whole_sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def whole_sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFram
                         out[key_] = own_.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["id", "set"])
 
-    return picked.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    return picked.mapInArrow(lean(run), "id long, set binary").dropDuplicates(["id"])
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _compared(pairs: DataFrame) -> DataFrame:
                 arrays = [pa.array(sizes_a, pa.int64()), pa.array(sizes_b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(like, pa.bool_()), pa.array(diff, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["a", "b", "n_a", "n_b", "linked", "near", "diff"])
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, n_a long, n_b long, linked boolean, near boolean, diff array<long>")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long, n_a long, n_b long, linked boolean, near boolean, diff array<long>")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:

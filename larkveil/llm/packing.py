@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkveil.llm.common import lean
+
 WINDOW = 1024
 END_ID = 0
 SHARD = 512
@@ -75,7 +77,7 @@ def _coded(docs: DataFrame, key: str, text: str, ranks: str, pattern: str, shard
 
     fields = [T.StructField("shard", T.LongType()), docs.schema[key], T.StructField("n", T.LongType())]
     schema = T.StructType([*fields, *(T.StructField(c, T.BinaryType()) for c in ("full", "tail", "terms"))])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(lean(run), schema)
 
 
 class Index:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkveil.llm.common import cut, fresh_name
+from larkveil.llm.common import cut, fresh_name, lean
 
 BUCKETS = 16_384
 #: At most so many labelled rows are used: those with the smallest hashes of their ids.
@@ -57,7 +57,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's factor and of its inverse modulo 2**64, kept for the next batch."""
     if len(_POWERS[0]) < n:
         for i, factor in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 20), factor, np.uint64)
+            steps = np.full(max(n, 1 << 19), factor, np.uint64)
             steps[0] = 1
             _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -94,14 +94,14 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of about a megabyte of text."""
+    """Slices of some hundred kilobytes of text."""
     for b in batches:
         column = b.column(b.schema.get_field_index(text))
         at, size, own = 0, 0, []
         for i, x in enumerate(column):
             own.append(x.as_py())
             size += len(own[-1] or "")
-            if size > 500_000 or i + 1 == len(b):
+            if size > 200_000 or i + 1 == len(b):
                 yield b.slice(at, len(own)), own
                 at, size, own = i + 1, 0, []
 
@@ -131,7 +131,7 @@ class Models:
                 w = np.bincount(row, table[gram], len(texts)) / (np.bincount(row, minlength=len(texts)) + SHRINK)
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in kept), pa.array(w)], names=[*kept, out])
 
-        return docs.select(kept).mapInArrow(run, schema)
+        return docs.select(kept).mapInArrow(lean(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Models:
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(liked[some])], names=["gram", "n", "good"])
 
-    counted = docs.select(key, text).mapInArrow(count, "gram long, n long, good long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    counted = docs.select(key, text).mapInArrow(lean(count), "gram long, n long, good long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counted.collect():  # at most BUCKETS rows
         raw[r["gram"]], target[r["gram"]] = r["n"], r["good"]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkveil.llm.common import cut, fresh_name
+from larkveil.llm.common import cut, fresh_name, lean
 
 DEFAULT_KEY = b"larkveil-demo-key"
 #: Exceptions that may be sent to every task: some 100 bytes each, so 10 MB at most.
@@ -266,7 +266,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
             pairs = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], names=["kind", "value"])
 
-    return docs.select(text).mapInArrow(run, "kind string, value string").distinct()
+    return docs.select(text).mapInArrow(lean(run), "kind string, value string").distinct()
 
 
 def exceptions(values: DataFrame, key: bytes) -> DataFrame:
@@ -281,7 +281,7 @@ def exceptions(values: DataFrame, key: bytes) -> DataFrame:
     drawn_schema = "kind string, value string, attempt int, out string"
     state = values.withColumn("attempt", F.lit(0))
     for _ in range(MAX_ROUNDS):
-        drawn = cut(state.mapInArrow(run, drawn_schema))
+        drawn = cut(state.mapInArrow(lean(run), drawn_schema))
         # of the values with one surrogate the one that drew least often keeps it, then the smallest
         holders = drawn.groupBy("kind", "out").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "value")).alias("keep")).where("n > 1")
         originals = values.select("kind", F.col("value").alias("out"))
@@ -321,7 +321,7 @@ def surrogate(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, row
             arrays = [pa.array([x for x, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(column(k) for k in kept), *arrays], names=[*kept, text, "n_replaced"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _with_exceptions(docs: DataFrame, text: str, row_key: str, again: DataFrame, extra: str) -> DataFrame:
@@ -334,7 +334,7 @@ def _with_exceptions(docs: DataFrame, text: str, row_key: str, again: DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.column(0).type), *(pa.array(c, pa.string()) for c in columns[1:])], names=[row_key, "kind", "value"])
 
     schema = T.StructType([docs.schema[row_key], T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
-    found = docs.select(row_key, text).mapInArrow(run, schema).distinct().join(again, ["kind", "value"])
+    found = docs.select(row_key, text).mapInArrow(lean(run), schema).distinct().join(again, ["kind", "value"])
     lists = found.groupBy(row_key).agg(F.collect_set(F.struct("kind", "value", "attempt")).alias(extra))
     own = fresh_name(docs.columns, "key")
     return docs.join(lists.withColumnRenamed(row_key, own), F.col(row_key).eqNullSafe(F.col(own)), "left").drop(own)
