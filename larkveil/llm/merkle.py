@@ -88,7 +88,7 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
 MAX_RANGES = 4096
 
 
-def with_next(docs: DataFrame, key: str, text: str, out: str, chars_per_range: int = 16_000_000) -> DataFrame:
+def with_next(docs: DataFrame, key: str, text: str, out: str, chars_per_range: int = 4_000_000) -> DataFrame:
     """``docs`` (key, text) with the text of the row that follows by key, after the last row the first, as ``out``.
 
     Rows are ordered by key (nulls first), then text. They are dealt to ranges of keys of about
