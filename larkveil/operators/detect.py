@@ -28,6 +28,12 @@ def detector(settings: Settings) -> Detector:
     return _DETECTORS[mark]
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan of few or small files gives fewer partitions; large scans stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def hit_row(h: Hit) -> dict:
     parts = [{"start": p.start, "end": p.end, "cls": p.cls, "conf": p.conf} for p in h.parts]
     return {"start": h.start, "end": h.end, "cls": h.cls, "stage": h.stage, "conf": h.conf, "entity": h.entity, "attrs": list(h.attrs.items()), "parts": parts}
@@ -65,7 +71,7 @@ def detect(docs: DataFrame, settings: Settings | None = None, text: str = "text"
                 new = [pa.array(v, kinds[n]) for n, v in (("findings", found), ("entities", entities), ("by_stage", stages))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *types])
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def findings(detected: DataFrame, key: str = "doc_id") -> DataFrame:

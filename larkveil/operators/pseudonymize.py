@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from larkveil.kernel.pipeline import Entry, Session, restore
-from larkveil.operators.detect import arrow_type, detector
+from larkveil.operators.detect import arrow_type, detector, spread
 from larkveil.plans.catalog import Settings
 
 ENTRY = "struct<token:string,cls:string,value:string,forms:array<string>,attrs:map<string,string>>"
@@ -49,7 +49,7 @@ def pseudonymize(docs: DataFrame, settings: Settings | None = None, text: str =
                 own = [b.column(b.schema.get_field_index(f.name)) for f in kept]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, kinds[n]) for n, v in rows.items())], names=[*(f.name for f in kept), *types])
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def conversations(turns: DataFrame, settings: Settings | None = None, session: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
