@@ -16,6 +16,10 @@ from larkveil.llm.common import cut, ship, table
 from larkveil.llm.queries import split_pattern, tokenizer
 
 
+#: Near copies have this share of their word shingles in common, in percent; op7's own limit is higher.
+NEAR_COPIES = 80
+
+
 def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with n_chars counted anew."""
     if "n_chars" in docs.columns:
@@ -34,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return _like(minhash.near_dedup(docs), docs)
+    return _like(minhash.near_dedup(docs, percent=NEAR_COPIES), docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

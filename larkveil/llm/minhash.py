@@ -1,12 +1,13 @@
 """Near-duplicate groups by b-bit MinHash, with exact links.
 
 A document's set is its distinct five-word shingles. Two documents are linked if the intersection
-of their sets is at least ``PERCENT`` percent of the union; groups are the components.
+of their sets is at least ``percent`` percent of the union; groups are the components.
 
-1. Each set gets ``BANDS * ROWS`` minima. A band's minima together are a bucket key; of the minima
+1. Each set gets ``MINIMA`` minima. A band's minima together are a bucket key; of the minima
    the low ``BITS`` bits are kept, packed as bit planes. Equal sets are one node from here on.
-2. Documents that share a bucket are candidates. With 48 bands of 8 rows a pair at 85 percent
-   shares none with a probability of 3e-7.
+2. Documents that share a bucket are candidates. Bands are as long as ``MISS`` allows: with 48
+   bands of 8 rows a pair at 85 percent shares none with a probability of 3e-7, with 64 bands of 6
+   rows a pair at 80 percent with one of 4e-9.
 3. Of each bucket the node with the most copies is the hub; a node's anchor is the hub with the
    most copies of all its buckets. Every node is compared with its anchor on whole sets.
 4. Nodes of one anchor: let D be the difference (symmetric) of a node's set from the anchor's.
@@ -45,14 +46,10 @@ from larkveil.llm.common import cut, fresh_name, lean
 from larkveil.llm.components import components
 
 WORDS, PERCENT = 5, 85
-BANDS, ROWS, BITS = 48, 8, 2
-MINIMA = BANDS * ROWS
+MINIMA, BITS = 384, 2
 PLANE = MINIMA // 64
-#: 5 standard deviations of the estimate below the limit.
-_P = 2.0**-BITS + (1 - 2.0**-BITS) * PERCENT / 100
-LEAST_ESTIMATE = PERCENT / 100 - 5 * (_P * (1 - _P) / MINIMA) ** 0.5 / (1 - 2.0**-BITS)
-#: Share of the two sizes by which linked sets can differ.
-DELTA = (100 - PERCENT) / (100 + PERCENT)
+#: Probability that a pair right at the limit shares no bucket, at most.
+MISS = 1e-6
 #: Nodes less like their hub than this percentage are their own anchor.
 NEAR = 40
 #: Ids that may be broadcast, with a digest of 16 bytes: some 60 MB as a hash table at most.
@@ -65,6 +62,22 @@ _B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
 _x64 = xxhash.xxh3_64_intdigest
 
 
+def band_rows(percent: int) -> int:
+    """The most minima a band can have so that bands miss a pair at this percentage by ``MISS`` at most."""
+    return max(r for r in range(1, MINIMA + 1) if MINIMA % r == 0 and (r == 1 or (1 - (percent / 100) ** r) ** (MINIMA // r) <= MISS))
+
+
+def least_estimate(percent: int) -> float:
+    """5 standard deviations of the estimate below the limit."""
+    p = 2.0**-BITS + (1 - 2.0**-BITS) * percent / 100
+    return percent / 100 - 5 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - 2.0**-BITS)
+
+
+def delta(percent: int) -> float:
+    """Share of the two sizes by which linked sets can differ."""
+    return (100 - percent) / (100 + percent)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,9 +105,9 @@ def minima(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(m: np.ndarray) -> np.ndarray:
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * _M
-    for row in m.reshape(BANDS, ROWS).T.astype(np.uint64):
+def bands(m: np.ndarray, rows: int) -> np.ndarray:
+    h = np.arange(1, MINIMA // rows + 1, dtype=np.uint64) * _M
+    for row in m.reshape(-1, rows).T.astype(np.uint64):
         h = _mix(h * _M + row)
     return h.view(np.int64)
 
@@ -115,8 +128,9 @@ def estimate(a: Column, b: Column) -> Column:
     return ((MINIMA - differ) / float(MINIMA) - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """id, n, digest, bands, planes of each row."""
+    rows = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,7 +142,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     n.append(len(own))
                     digest.append(xxhash.xxh3_128_digest(own.tobytes()))
                     m = minima(own) if len(own) else None
-                    keys.append(None if m is None else bands(m))
+                    keys.append(None if m is None else bands(m, rows))
                     bits.append(None if m is None else planes(m))
                 arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "digest", "bands", "planes"])
@@ -156,7 +170,7 @@ def whole_sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFram
     return picked.mapInArrow(lean(run), "id long, set binary").dropDuplicates(["id"])
 
 
-def _compared(pairs: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b, n_a, n_b, linked, difference (what b has and a lacks first), of rows a, b, set_a, set_b. b is the anchor of a or any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +185,7 @@ def _compared(pairs: DataFrame) -> DataFrame:
                     union = len(p) + len(q) - common
                     sizes_a.append(len(p))
                     sizes_b.append(len(q))
-                    linked.append(100 * common >= PERCENT * union)
+                    linked.append(100 * common >= percent * union)
                     near = 100 * common >= NEAR * union
                     like.append(near)
                     # an element's place in the common order: those that the anchor lacks come first
@@ -188,11 +202,12 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def _among(anchored: DataFrame) -> DataFrame:
+def _among(anchored: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes of one anchor, at least one of which isn't linked with it (step 4)."""
+    apart_at_most = delta(percent)
     d = F.size("diff")
-    half = F.floor(d * (1 - DELTA) / 2 - 1e-9).cast("int") + 1  # overlap with a node that isn't linked with the anchor, at least
-    weak = F.greatest(F.lit(1), F.ceil((d - DELTA * (F.col("n_a") + F.col("n_b"))) / (1 + DELTA) - 1e-9).cast("int"))
+    half = F.floor(d * (1 - apart_at_most) / 2 - 1e-9).cast("int") + 1  # overlap with a node that isn't linked with the anchor, at least
+    weak = F.greatest(F.lit(1), F.ceil((d - apart_at_most * (F.col("n_a") + F.col("n_b"))) / (1 + apart_at_most) - 1e-9).cast("int"))
     rows = anchored.where("near AND a <> b").select(F.col("b").alias("anchor"), "a", "n_a", "linked", "diff", F.greatest(F.lit(0), d - half + 1).alias("index"), (d - weak + 1).alias("probe"))
 
     def first(side: str, how_many: str, name: str) -> DataFrame:
@@ -201,7 +216,7 @@ def _among(anchored: DataFrame) -> DataFrame:
 
     met = first("NOT linked", "probe", "x").join(first("true", "index", "y"), ["anchor", "e"])
     # what this pair must share, and so how far from the end its first shared element stands at least
-    share = F.greatest(F.lit(1), F.ceil((F.col("s_x") + F.col("s_y") - DELTA * (F.col("m_x") + F.col("m_y"))) / 2 - 1e-9))
+    share = F.greatest(F.lit(1), F.ceil((F.col("s_x") + F.col("s_y") - apart_at_most * (F.col("m_x") + F.col("m_y"))) / 2 - 1e-9))
     early = (F.col("at_x") + share <= F.col("s_x")) & (F.col("at_y") + share <= F.col("s_y"))
     pairs = met.where((F.col("x") != F.col("y")) & early).select("anchor", "x", "y").distinct()
     x = rows.select("anchor", F.col("a").alias("x"), F.col("n_a").alias("n_x"), F.col("diff").alias("d_x"))
@@ -210,10 +225,10 @@ def _among(anchored: DataFrame) -> DataFrame:
     apart = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
     total = F.col("n_x") + F.col("n_y")
     # common = (total - apart) / 2 and union = (total + apart) / 2
-    return both.where(100 * (total - apart) >= PERCENT * (total + apart)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return both.where(100 * (total - apart) >= percent * (total + apart)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different anchors whose packed bits are alike enough (step 5)."""
     main = members.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"), "anchor")).alias("top"), F.min("anchor").alias("low"), F.max("anchor").alias("high"))
     mixed = main.where("low <> high").select("bucket", F.col("top.anchor").alias("main"))
@@ -225,13 +240,13 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     p = nodes.select(F.col("id").alias("a"), F.col("planes").alias("p_a"), F.col("n").alias("s_a"))
     q = nodes.select(F.col("id").alias("b"), F.col("planes").alias("p_b"), F.col("n").alias("s_b"))
     both = pairs.join(p, "a").join(q, "b")
-    sizes = 100 * F.least("s_a", "s_b") >= PERCENT * F.greatest("s_a", "s_b")
-    return both.where(sizes & (estimate(F.col("p_a"), F.col("p_b")) >= LEAST_ESTIMATE)).select("a", "b")
+    sizes = 100 * F.least("s_a", "s_b") >= percent * F.greatest("s_a", "s_b")
+    return both.where(sizes & (estimate(F.col("p_a"), F.col("p_b")) >= least_estimate(percent))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    rows = cut(signatures(docs, key, text))
+    rows = cut(signatures(docs, key, text, percent))
     own = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("digest"))
     sets_of = rows.select("digest", "n", "bands", "planes").where("n > 0")
     grouped = own.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
@@ -243,13 +258,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     anchor = met.groupBy("id").agg(F.max("hub").alias("hub")).select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b"))
     candidates = cut(anchor.join(nodes.select(F.col("id").alias("a"), "digest"), "a"))
     sets = cut(whole_sets(docs, key, text, candidates.select(F.col("a").alias("id"), "digest")))
-    anchored = cut(_compared(_with_sets(candidates.where("a <> b").select("a", "b"), sets)))
+    anchored = cut(_compared(_with_sets(candidates.where("a <> b").select("a", "b"), sets), percent))
     starred = anchored.where("linked").select("a", "b")
     near = anchored.where("near").select(F.col("a").alias("id"), F.col("b").alias("near"))
     members = met.join(near, "id", "left").select("bucket", "id", "copies", F.coalesce("near", "id").alias("anchor"))
-    across = cut(_across(members, nodes))
-    checked = _compared(_with_sets(across, sets)).where("linked").select("a", "b")
-    links = starred.unionAll(_among(anchored)).unionAll(checked)
+    across = cut(_across(members, nodes, percent))
+    checked = _compared(_with_sets(across, sets), percent).where("linked").select("a", "b")
+    links = starred.unionAll(_among(anchored, percent)).unionAll(checked)
     groups = cut(components(links).join(nodes.select("id", "digest"), "id").select("digest", "component"))
     alone = nodes.select("digest", "id")
     labels = alone.join(groups, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"))
@@ -258,9 +273,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those that aren't the first of their group."""
-    gone = cut(near_duplicates(docs, key, text).where("NOT kept").select(F.col(key).alias("gone")).distinct())
+    gone = cut(near_duplicates(docs, key, text, percent).where("NOT kept").select(F.col(key).alias("gone")).distinct())
     few = gone.count() <= BROADCAST_IDS
     name = fresh_name(docs.columns, "gone")
     gone = gone.withColumnRenamed("gone", name)
