@@ -2,16 +2,22 @@
 
 A document's ids are cut into full windows and a tail. Full windows are sequences as they are.
 Tails are dealt to shards of about ``SHARD`` documents. Each shard builds an inverted index over
-its documents' terms (token ids, of the whole text) with BM25 weights. Starting from a seed, the
+its documents' terms (token ids, of the whole text) with BM25 weights, whose document frequencies
+and mean length are counted over all documents before. Starting from a seed, the
 unused neighbours with the best scores fill the seed's window one after the other; the one that
 crosses its end is cut there, its rest opens the next window and it is the next seed. Where no
 neighbour shares a weighted term, the unused document with the smallest id follows. So a shard has
 at most one window that isn't full, and that one is cut into sequences of powers of two, which
 need no padding.
 
-Rows are dealt to shards round robin from a start that their partition's first id picks, so
-neither a hot key nor copies make a shard large. A shard is what one task holds: tails (at most a
-window each) and terms of ``SHARD`` documents; other windows travel as checksums only.
+Related documents are dealt to one shard: each document draws ``DRAWS`` of its terms by weighted
+minima (the rarer a term is in the corpus the likelier; two documents draw alike as often as their
+weighted term sets overlap), all documents are ordered by what they drew, and the order is cut at
+quantiles of a sample of one row in ``SAMPLED``. The last 16 bits of a place are a row counter, so
+neither a hot key nor copies make a shard large: a large group fills shards next to each other. A
+seed's candidates are the unused documents of its shard; a neighbour that drew other terms, or that
+a quantile cuts off, isn't met. A shard is what one task holds: tails (at most a window each) and
+terms of ``SHARD`` documents; other windows travel as checksums only.
 
 Defined results: null text counts as empty and has the end id alone; repeated rows are packed
 each; ties in score go to the smaller document id (nulls last), then to the earlier row; an empty
@@ -32,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkveil.llm.common import lean
+from larkveil.llm.common import cut, lean
 
 WINDOW = 1024
 END_ID = 0
 SHARD = 512
 K1, B = 1.2, 0.75
+#: Ids have 16 bits. Terms drawn for a document's place, the power of their weight, and rows for each one that is sampled.
+TERMS, DRAWS, POWER, SAMPLED = 1 << 16, 3, 2, 16
 
 _ENCODERS: dict = {}
 
@@ -53,8 +61,8 @@ def encoder(ranks: str, pattern: str):
     return _ENCODERS[ranks]
 
 
-def _coded(docs: DataFrame, key: str, text: str, ranks: str, pattern: str, shards: int) -> DataFrame:
-    """shard, key, n (ids with the end id), full (checksums), tail, terms (ids and counts)."""
+def _coded(docs: DataFrame, key: str, text: str, ranks: str, pattern: str) -> DataFrame:
+    """tie, key, n (ids with the end id), full (checksums), tail, terms (ids and counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, at = encoder(ranks, pattern).encode_ordinary, None
@@ -69,21 +77,91 @@ def _coded(docs: DataFrame, key: str, text: str, ranks: str, pattern: str, shard
                 sums = [zlib.crc32(ids[i * WINDOW : (i + 1) * WINDOW].tobytes()) for i in range(full)]
                 terms, counts = np.unique(ids[:-1], return_counts=True)
                 at += 1
-                for column, value in zip(rows, (at % shards, len(ids), np.array(sums, "<u4").tobytes(), ids[full * WINDOW :].astype("<u2").tobytes(), np.stack([terms, np.minimum(counts, 65535)]).astype("<u2").tobytes())):
+                for column, value in zip(rows, (at % TERMS, len(ids), np.array(sums, "<u4").tobytes(), ids[full * WINDOW :].astype("<u2").tobytes(), np.stack([terms, np.minimum(counts, 65535)]).astype("<u2").tobytes())):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            shard, *rest = (pa.array(r, k) for r, k in zip(rows, kinds))
-            yield pa.RecordBatch.from_arrays([shard, b.column(0), *rest], names=["shard", key, "n", "full", "tail", "terms"])
+            tie, *rest = (pa.array(r, k) for r, k in zip(rows, kinds))
+            yield pa.RecordBatch.from_arrays([tie, b.column(0), *rest], names=["tie", key, "n", "full", "tail", "terms"])
 
-    fields = [T.StructField("shard", T.LongType()), docs.schema[key], T.StructField("n", T.LongType())]
+    fields = [T.StructField("tie", T.LongType()), docs.schema[key], T.StructField("n", T.LongType())]
     schema = T.StructType([*fields, *(T.StructField(c, T.BinaryType()) for c in ("full", "tail", "terms"))])
     return docs.select(key, text).mapInArrow(lean(run), schema)
 
 
+def _terms(packed: bytes) -> np.ndarray:
+    """Two rows: a document's terms and their counts."""
+    return np.frombuffer(packed, "<u2").reshape(2, -1).astype(np.int64)
+
+
+def weights(n: int, df: np.ndarray) -> np.ndarray:
+    """BM25's weight of terms that df of n documents have; one that half of them have weighs nothing."""
+    return np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+
+
+def statistics(coded: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Number of documents, their mean length, and the number of documents with each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(TERMS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                df[_terms(x.as_py())[0]] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], names=["term", "df"])
+
+    n, length = coded.agg(F.count("*"), F.sum(F.col("n") - 1)).first()
+    counted = coded.select("terms").mapInArrow(lean(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term at most
+    df = np.zeros(TERMS, np.int64)
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    return n, (length or 0) / max(1, n), df
+
+
+def drawing(n: int, df: np.ndarray) -> np.ndarray:
+    """What each term costs in each draw; the cheapest is drawn, terms that no two documents share never."""
+    draws = np.random.default_rng(20_240_609).exponential(size=(DRAWS, TERMS))
+    with np.errstate(divide="ignore"):
+        return draws / np.where(df > 1, weights(n, df) ** POWER, 0)
+
+
+def place(costs: np.ndarray, terms: np.ndarray, tie: int) -> int:
+    """Where a document stands in the order that shards are cut from."""
+    out = 0
+    for own in costs[:, terms]:
+        at = int(own.argmin()) if len(own) else 0
+        out = out << 16 | (int(terms[at]) if len(own) and np.isfinite(own[at]) else TERMS - 1)
+    return (out << 16 | tie) - (1 << 63)
+
+
+def _dealt(coded: DataFrame, shards: int, n: int, df: np.ndarray) -> DataFrame:
+    """``coded`` with shard in place of tie."""
+    if shards == 1:
+        return coded.withColumn("tie", F.lit(0).cast("long")).withColumnRenamed("tie", "shard")
+    costs = coded.sparkSession.sparkContext.broadcast(drawing(n, df))
+
+    def places(b: pa.RecordBatch) -> np.ndarray:
+        columns = (b.column(b.schema.get_field_index(c)) for c in ("terms", "tie"))
+        return np.array([place(costs.value, _terms(x.as_py())[0], t.as_py()) for x, t in zip(*columns)], np.int64)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(places(b))], names=["place"])
+
+    some = coded.where(F.pmod(F.xxhash64("terms", "tie"), F.lit(SAMPLED)) == 0).select("terms", "tie")
+    sampled = np.sort(some.mapInArrow(lean(sample), "place long").toArrow().column("place").to_numpy())
+    bounds = coded.sparkSession.sparkContext.broadcast(sampled[[len(sampled) * i // shards for i in range(1, shards)]] if len(sampled) else sampled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard = np.searchsorted(bounds.value, places(b), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *b.columns[1:]], names=["shard", *b.schema.names[1:]])
+
+    return coded.mapInArrow(lean(run), T.StructType([T.StructField("shard", T.LongType()), *coded.schema.fields[1:]]))
+
+
 class Index:
-    """BM25 postings of a shard's documents; a term that half of them have weighs nothing."""
+    """BM25 postings of a shard's documents, weighted by the statistics of the corpus, or of these documents if there are none."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None):
         self.n = len(terms)
         self.terms = terms
         lengths = np.array([c.sum() for c in counts], float)
@@ -91,9 +169,9 @@ class Index:
         term = np.concatenate([*terms, np.empty(0, np.int64)]).astype(np.int64)
         tf = np.concatenate([*counts, np.empty(0)]).astype(float)
         top = int(term.max(initial=0)) + 1
-        df = np.bincount(term, minlength=top)
-        idf = np.maximum(0.0, np.log((self.n - df + 0.5) / (df + 0.5)))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if self.n else 1.0))
+        total, mean, df = corpus or (self.n, lengths.mean() if self.n else 1.0, np.bincount(term, minlength=top))
+        idf = weights(total, df)
+        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         order = np.argsort(term, kind="stable")
         order = order[idf[term[order]] > 0]
@@ -135,12 +213,12 @@ def chain(index: Index, sizes: list[int], window: int = WINDOW) -> Iterator[int]
                 break
 
 
-def _packed(key: str, ids: bool):
+def _packed(key: str, ids: bool, corpus):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([key, "n"], kind="stable", na_position="last").reset_index(drop=True)
         tails = [np.frombuffer(x, "<u2") for x in pdf["tail"]]
-        terms = [np.frombuffer(x, "<u2").reshape(2, -1).astype(np.int64) for x in pdf["terms"]]
-        index = Index([t[0] for t in terms], [t[1] for t in terms])
+        terms = [_terms(x) for x in pdf["terms"]]
+        index = Index([t[0] for t in terms], [t[1] for t in terms], corpus.value)
         out: list[tuple] = []
         sequence = int(pdf["shard"].iloc[0]) << 32
         for i, sums in enumerate(pdf["full"]):
@@ -182,7 +260,9 @@ def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: s
 
     ``ids`` adds ``tail_ids``: the piece's ids (16 bit) where it isn't a full window of its document.
     """
-    shards = max(1, math.ceil(docs.count() / shard))
+    coded = cut(_coded(docs, key, text, ranks, pattern))
+    corpus = statistics(coded)
+    dealt = _dealt(coded, max(1, math.ceil(corpus[0] / shard)), corpus[0], corpus[2])
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = T.StructType([docs.schema[key], *(T.StructField(c, T.LongType()) for c in names), *([T.StructField("tail_ids", T.BinaryType())] if ids else [])])
-    return _coded(docs, key, text, ranks, pattern, shards).groupBy("shard").applyInPandas(_packed(key, ids), schema)
+    return dealt.groupBy("shard").applyInPandas(_packed(key, ids, docs.sparkSession.sparkContext.broadcast(corpus)), schema)
