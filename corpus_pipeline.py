@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkveil.llm import line_dedup, minhash, packing, resampling, surrogates
 from larkveil.llm.common import cut, ship, table
-from larkveil.llm.queries import split_pattern, tokenizer
+from larkveil.llm.queries import special_tokens, split_pattern, tokenizer
 
 
 #: Near copies have this share of their word shingles in common, in percent; op7's own limit is higher.
@@ -48,7 +48,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs, tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
+    return packing.pack(docs, tokenizer("byte_bpe_50k.tiktoken"), split_pattern(), special=special_tokens("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("private_data", private_data), ("packing", packing_)]

@@ -30,6 +30,7 @@ import base64
 import math
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -50,22 +51,23 @@ TERMS, DRAWS, POWER, SAMPLED = 1 << 16, 3, 2, 16
 _ENCODERS: dict = {}
 
 
-def encoder(ranks: str, pattern: str):
-    """The encoder of a file of byte-pair ranks, once for each Python worker."""
-    if ranks not in _ENCODERS:
+def encoder(ranks: str, pattern: str, special: dict[str, int] | None = None):
+    """The encoder of a file of byte-pair ranks, once for each Python worker; special: strings that are one id."""
+    own = (ranks, *sorted((special or {}).items()))
+    if own not in _ENCODERS:
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[ranks] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _ENCODERS[ranks]
+        _ENCODERS[own] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens=special or {})
+    return _ENCODERS[own]
 
 
-def _coded(docs: DataFrame, key: str, text: str, ranks: str, pattern: str) -> DataFrame:
+def _coded(docs: DataFrame, key: str, text: str, ranks: str, pattern: str, special: dict[str, int] | None = None) -> DataFrame:
     """tie, key, n (ids with the end id), full (checksums), tail, terms (ids and counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at = encoder(ranks, pattern).encode_ordinary, None
+        encode, at = partial(encoder(ranks, pattern, special).encode, allowed_special="all"), None
         for b in batches:
             keys = b.column(0).to_pylist()
             if at is None and keys:
@@ -255,12 +257,13 @@ def _packed(key: str, ids: bool, corpus):
     return run
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", shard: int = SHARD, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", shard: int = SHARD, ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
     """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    ``special`` are strings that the vocabulary has as one id; without it they are ordinary text.
     ``ids`` adds ``tail_ids``: the piece's ids (16 bit) where it isn't a full window of its document.
     """
-    coded = cut(_coded(docs, key, text, ranks, pattern))
+    coded = cut(_coded(docs, key, text, ranks, pattern, special))
     corpus = statistics(coded)
     dealt = _dealt(coded, max(1, math.ceil(corpus[0] / shard)), corpus[0], corpus[2])
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +65,14 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def special_tokens(name: str) -> dict[str, int]:
+    """The strings that a tokenizer's file has as one id."""
+    with open(tokenizer(name), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), split_pattern())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), split_pattern(), special=special_tokens("byte_bpe_50k.json"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,23 @@ def test_statistics_are_those_of_the_corpus(spark):
     own = np.zeros(packing.TERMS, np.int64)
     own[[5, 9]] = 2
     assert packing.Index(pair, counts, (1000, 2.0, own)).scores(0).min() > 1
+
+
+def test_op9_gives_the_ids_of_the_library_at_its_defaults(spark, tmp_path):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(Q.tokenizer("byte_bpe_50k.json"))
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\n<|endoftext|> ", "<|endoftext", "plain, it's 12 é中", " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    coded = packing.encoder(Q.tokenizer("byte_bpe_50k.tiktoken"), Q.split_pattern(), Q.special_tokens("byte_bpe_50k.json"))
+    for x in texts:
+        assert coded.encode(x, allowed_special="all") == t.encode(x, add_special_tokens=False).ids
+    got = Q.op9_packing(spark, str(tmp_path)).collect()
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        own = [r for r in got if r["doc_id"] == i]
+        assert {r["doc_tokens"] for r in own} == {len(ids)}
+        for r in own:
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
