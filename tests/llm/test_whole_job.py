@@ -107,3 +107,18 @@ def test_op9_gives_the_ids_of_the_library_at_its_defaults(spark, tmp_path):
         assert {r["doc_tokens"] for r in own} == {len(ids)}
         for r in own:
             assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_the_lines_stage_drops_repeated_lines_in_every_host(spark):
+    import corpus_pipeline as C
+
+    def page(h, i):
+        planted = [f"line on one in {n}" for n in (10, 25, 50) if i % n == 0]
+        return "\n".join([f"own {h} {i}", *planted, *(["on four pages"] if i < 4 else [])])
+
+    rows = [(1000 * h + i, page(h, i), f"host{h}", 0) for h in range(4) for i in range(400 + 50 * h)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in C.lines(spark, docs, SF).collect()}
+    assert len(out) == len(rows)
+    for i, text, _, _ in rows:
+        assert out[i].split("\n") == [x for x in text.split("\n") if not x.startswith("line on")]
