@@ -1,12 +1,20 @@
 """Quality filter by importance resampling over hashed n-grams.
 
 Two generative models over hashed n-grams are counted: the raw model over all documents, the
-target model over a bounded sample of rows that are labelled good. A document's weight is its mean
-log ratio of target to raw probability, with ``SHRINK`` neutral n-grams added so that very short
-texts stay near 0. Documents are then drawn without replacement by Gumbel top-k: each gets its
-weight divided by a temperature plus a Gumbel number that depends on its key and a seed, and the k
-highest stay. k is not a guess: it is the number of documents whose weight reaches the cut that
-best divides the labelled sample's good and bad rows.
+target model over a bounded sample of rows that are labelled good. A document's log importance
+weight is the sum of its n-grams' log ratios of target to raw probability. Documents are drawn
+without replacement by Gumbel top-k: each key is the log weight plus a standard Gumbel number that
+depends on the row's key and a seed, and the k highest stay.
+
+The method was published for chunks of one length; here documents have 1 to 20,000 words, and the
+plain sum ranks long clean texts below short junk as soon as some of their words are missing in
+the sample. So the weight is that of a chunk of ``CHUNK`` n-grams of the document: the sum divided
+by the document's n-grams (and ``SHRINK`` neutral ones, which keep very short texts near 0), times
+``CHUNK``. ``chunk=None`` gives the plain sum. The README has both forms' figures.
+
+``share`` is the part of all rows that is drawn, so k = round(share * rows). Without it the share
+is the one that the labelled sample has of good rows: as many are drawn as there are good ones by
+that estimate. No weight is compared with a cut, and weights of bad rows are never looked at.
 
 n-grams are single tokens (runs of letters and digits, runs of other signs) and pairs of
 neighbours; a pair of equal tokens counts as one n-gram "=", so texts that repeat a word are seen
@@ -14,14 +22,16 @@ whatever the word is. Pairs and tokens are hashed into ``BUCKETS`` buckets. The
 smoothed towards the raw one (``PRIOR`` of its size), which bounds each ratio from below.
 
 Texts are read in Arrow batches and hashed by array arithmetic; counts are added up to at most a
-row for each bucket and task before the shuffle; the driver sees the two models (2 * BUCKETS numbers), the labelled sample's
-weights (``SAMPLE`` numbers) and histograms of the keys (``BINS`` numbers), whatever the input's
-size. The k-th key is found by refining a histogram, so there is no sort of all rows.
-
-Defined results: null or empty texts have no n-grams and weight 0 (kept unless the cut is above 0,
-which can't be chosen); without good or without bad labelled rows everything is kept; of several
-labels of a document the smallest counts; null labels don't count; repeated rows have equal keys
-and go or stay together; rows that tie with the k-th key stay.
+row for each bucket and task before the shuffle; the driver sees the two models (2 * BUCKETS
+numbers), the labelled sample (``SAMPLE`` ids) and histograms of the keys (``BINS`` numbers),
+whatever the input's size. The k-th key is found by refining a histogram, so there is no sort of
+all rows.
+
+Defined results: null or empty texts have no n-grams and weight 0; without good labelled rows
+every weight is 0, and without labelled rows everything is kept; of several labels of a document
+the smallest counts; null labels don't count; repeated rows have equal keys and go or stay
+together; rows that tie with the k-th key stay; columns log_ratio and draw_key of the input are
+replaced; a share of 0 gives no rows, of 1 all.
 """
 
 from __future__ import annotations
@@ -36,14 +46,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkveil.llm.common import cut, fresh_name, lean
+from larkveil.llm.common import cut, lean
 
 BUCKETS = 16_384
 #: At most so many labelled rows are used: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 PRIOR = 0.05
 SHRINK = 10
-TEMPERATURE = 0.02
+CHUNK = 50
 SEED = 20_24
 BINS = 4_096
 
@@ -114,31 +124,34 @@ def labelled_sample(labels: DataFrame, key: str = "doc_id", label: str = "qualit
 
 @dataclass(frozen=True)
 class Models:
-    """Log ratios by bucket; the least weight of documents that are as the good ones, or None."""
+    """Log ratios by bucket, and the share of the labelled sample's rows that is good (1 without labels)."""
 
-    ratios: tuple[float, ...]
-    cut: float | None
+    ratios: np.ndarray
+    good: float
 
-    def weighed(self, docs: DataFrame, text: str = "text", out: str = "log_ratio") -> DataFrame:
+    def weights(self, texts: list[str | None], chunk: int | None = CHUNK) -> np.ndarray:
+        """Log importance weights of some texts."""
+        gram, row = ngrams(texts)
+        total = np.bincount(row, self.ratios[gram], len(texts))
+        return total if chunk is None else chunk * total / (np.bincount(row, minlength=len(texts)) + SHRINK)
+
+    def weighed(self, docs: DataFrame, text: str = "text", out: str = "log_ratio", chunk: int | None = CHUNK) -> DataFrame:
         """``docs`` with the weights of ``text`` as column ``out`` (replaced if it's there)."""
         kept = [c for c in docs.columns if c.lower() != out.lower()]
         schema = T.StructType([*docs.select(kept).schema.fields, T.StructField(out, T.DoubleType())])
-        table = np.array(self.ratios)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b, texts in _batches(batches, text):
-                gram, row = ngrams(texts)
-                w = np.bincount(row, table[gram], len(texts)) / (np.bincount(row, minlength=len(texts)) + SHRINK)
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in kept), pa.array(w)], names=[*kept, out])
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in kept), pa.array(self.weights(texts, chunk))], names=[*kept, out])
 
         return docs.select(kept).mapInArrow(lean(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Models:
-    """Both models, and the cut that the labelled sample gives."""
-    sample = cut(labelled_sample(labels, key, label))
-    labelled = {r[key]: r["good"] == 1 for r in sample.collect()}  # at most SAMPLE
+    """Both models, and the share of good rows."""
+    labelled = {r[key]: r["good"] == 1 for r in labelled_sample(labels, key, label).collect()}  # at most SAMPLE
     wanted = frozenset(i for i, g in labelled.items() if g)
+    share = len(wanted) / len(labelled) if labelled else 1.0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, liked = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -154,36 +167,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counted.collect():  # at most BUCKETS rows
         raw[r["gram"]], target[r["gram"]] = r["n"], r["good"]
+    return Models(np.array(log_ratios(raw, target)), share)
+
+
+def log_ratios(raw: list[int], target: list[int]) -> list[float]:
+    """Log of target to raw probability of each bucket; 0 where neither model has counts."""
     all_raw, all_target = sum(raw), sum(target)
     if not all_target:
-        return Models((0.0,) * BUCKETS, None)
+        return [0.0] * len(raw)
     prior = PRIOR * all_target
-    ratio = [math.log((t + prior * r / all_raw) / (all_target + prior) * all_raw / r) if r else 0.0 for r, t in zip(raw, target)]
-    models = Models(tuple(ratio), None)
-    name = fresh_name(docs.columns, "key")
-    picked = docs.select(key, text).join(F.broadcast(sample.select(F.col(key).alias(name))), F.col(key) == F.col(name), "left_semi")
-    seen = models.weighed(picked, text, "w").select(key, "w").collect()  # of at most SAMPLE ids
-    return Models(models.ratios, best_cut([(r["w"], labelled[r[key]]) for r in seen]))
-
-
-def best_cut(rows: list[tuple[float, bool]]) -> float | None:
-    """The weight, at most 0, that divides good and bad rows best; of equals the one in the widest gap."""
-    good, bad = sum(g for _, g in rows), sum(not g for _, g in rows)
-    if not good or not bad:
-        return None
-    rows = sorted(rows)
-    best, lost_good, lost_bad = None, 0, 0
-    for (a, is_good), (b, _) in zip(rows, rows[1:]):
-        lost_good, lost_bad = lost_good + is_good, lost_bad + (not is_good)
-        middle = (a + b) / 2
-        if a < b and middle <= 0:
-            best = max(best or (-2.0, 0, 0), (lost_bad / bad - lost_good / good, b - a, middle))
-    return best[2] if best and best[0] > 0 else None
-
-
-def gumbel_key(weight: Column, key: str, seed: int = SEED) -> Column:
-    unit = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    return weight / TEMPERATURE - F.log(-F.log(unit))
+    return [math.log((t + prior * r / all_raw) / (all_target + prior) * all_raw / r) if r else 0.0 for r, t in zip(raw, target)]
+
+
+def gumbel_key(weight: Column, key: str, seed: int | Column = SEED) -> Column:
+    """The weight plus a standard Gumbel number."""
+    unit = (F.pmod(F.xxhash64(F.col(key), F.lit(seed) if isinstance(seed, int) else seed), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    return weight - F.log(-F.log(unit))
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:
@@ -208,16 +207,20 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", with_text: bool = True) -> DataFrame:
+def resample(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", with_text: bool = True,
+    share: float | None = None, chunk: int | None = CHUNK, seed: int = SEED,
+) -> DataFrame:
     """The rows that are drawn, with log_ratio and draw_key; without texts and other columns if not ``with_text``."""
     models = fit(docs, labels, key, text, label)
-    scored = models.weighed(docs, text).withColumn("draw_key", gumbel_key(F.col("log_ratio"), key))
-    if models.cut is None:
-        return scored if with_text else scored.select(key, "log_ratio", "draw_key")
-    light = models.weighed(docs.select(key, text), text).select(key, "log_ratio")
-    keys = cut(light.withColumn("draw_key", gumbel_key(F.col("log_ratio"), key)))
-    k = keys.where(F.col("log_ratio") >= models.cut).count()
+    part = models.good if share is None else share
+    marked = lambda rows: rows.withColumn("draw_key", gumbel_key(F.col("log_ratio"), key, seed))
+    scored = marked(models.weighed(docs.drop("draw_key"), text, chunk=chunk))
+    light = models.weighed(docs.select(key, text), text, chunk=chunk).select(key, "log_ratio")
+    if part >= 1:
+        return scored if with_text else marked(light)
+    keys = cut(marked(light))
+    k = round(part * keys.count())
     if not k:
         return (scored if with_text else keys).limit(0)
-    drawn = F.col("draw_key") >= kth_largest(keys, "draw_key", k)
-    return (scored if with_text else keys).where(drawn)
+    return (scored if with_text else keys).where(F.col("draw_key") >= kth_largest(keys, "draw_key", k))
