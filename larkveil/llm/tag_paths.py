@@ -1,29 +1,43 @@
 """HTML extraction by tag-path ratios.
 
 A page is read once into blocks: runs of text between borders of block elements. Each block has
-the path of block elements from the root to it. For every path the text length and punctuation of
-its blocks are added up and divided by their number; text in links counts against it. Along the
-page the ratios are smoothed by a Gaussian window, fused with the unsmoothed ones (geometric
-mean), and paths whose mean fused ratio reaches a share of the page's deviation are content.
-The content's container is the lowest element around the content blocks, or the article or main
-element around that; the blocks inside it are the main text, short ones (headings, list items)
-among them, so that a path's threshold never cuts a sentence out of an article.
-
-Elements that are no article text by their tag, role or class (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments) are passed over before any counting.
+the path of block elements (with their classes) from the root to it. For every path the text
+length and punctuation of its blocks are added up and divided by their number; text in links
+counts against it. Along the page the ratios are smoothed by a Gaussian window and fused with the
+unsmoothed ones (geometric mean); a path's score is the mean fused ratio of its blocks. Paths whose
+score reaches ``THRESHOLD`` times the deviation of the page's fused ratios are content; if none
+does, the page has no main text.
+
+The content region is the lowest element around all content blocks, or the article or main element
+around that. A block in the region is main text if its path is content or if it goes with the
+content: a block whose elements have no name that speaks against it (headings, list items, cells,
+short paragraphs), so that a threshold never cuts a sentence out of an article. Without such an
+element (the region is the whole body) what stands between content blocks goes with them, and the
+headings before the first one.
+
+What the ratios can't tell is told by tags, roles and names. Elements that HTML itself sets apart
+(nav, aside, footer, form, script, headers outside articles, hidden ones ...) have no blocks.
+Elements whose class or id is as a whole a usual name of something that isn't the article ("ad",
+"cookie-notice", "site-header"; "market-share" or "has-sidebar" aren't) are content only if no
+other path is; what readers write ("comments", "replies") never is. Such a name
+says nothing on an element that holds an article or main element, on headings and paragraphs, and,
+but for readers' comments, on one that holds most of the punctuated text of a page without such elements.
 
 Blocks are joined by a line feed in page order; white space inside a block becomes one space and
 character references are decoded. Runs as ``mapInArrow``: each page on its own, nothing is
 shuffled.
 
 Defined results: null or empty html gives the empty text; a page without markup is one block;
-unclosed or crossed elements end where their parent ends; other columns pass through.
+unclosed or crossed elements end where their parent ends; repeated rows are extracted each; an
+empty table gives an empty table; other columns pass through, one that clashes with the text's
+name is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -41,8 +55,11 @@ NO_TEXT = frozenset(
 )
 NO_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search searchbox status toolbar".split())
 NO_CLASS = frozenset(
-    "ad ads adbox advert adverts advertising advertisement adsbygoogle banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies copyright consent dialog disclaimer disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
+    "ad ads adbox advert adverts advertising advertisement adsbygoogle banner breadcrumb breadcrumbs cookie cookies copyright consent dialog disclaimer footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+READERS = frozenset("comment comments commentlist commentary-list disqus replies reply respond".split())
+#: Words that leave the meaning of a name beside them as it is.
+BESIDE = frozenset("area bar block bottom box button buttons container form global inner item items js left line link links list main message outer page panel policy primary reader readers right secondary section site slot social thread top unit user users wrap wrapper".split())
 #: An element that opens closes these if they are open, up to the elements that follow them here.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -56,79 +73,140 @@ CLOSES = {
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # --- End of fixed values ---
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*>|[^<]+|<""",
-    re.S | re.I,
-)
+_APART = r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+_REST = r"|<[!?/a-zA-Z][^>]*>|[^<]+|<"
+TOKEN = re.compile(_APART + r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""" + _REST, re.S | re.I)
+#: Tags end at their first ">", for pages whose quotes don't match.
+UNQUOTED = re.compile(_APART + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>" + _REST, re.S | re.I)
+#: So many tags with a quote that isn't closed make a page one of those; each is searched to the page's end.
+UNCLOSED = 20
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 PUNCTUATION = re.compile(r"[.,;:!?。，、！？；：؟،।…]")
 WORDS = re.compile(r"[a-z0-9]+")
-#: Share of the deviation of fused ratios that a content path reaches; blocks each side of the window.
+#: Deviations that the score of a content path reaches; blocks each side of the window.
 THRESHOLD, REACH = 0.5, 2
-KERNEL = [math.exp(-(d * d) / 2.0) for d in range(-REACH, REACH + 1)]
+KERNEL = tuple(math.exp(-(d * d) / 2.0) for d in range(-REACH, REACH + 1))
+#: What a name says of an element: nothing, that it isn't the article, that readers wrote it.
+PLAIN, ASIDE, COMMENT = 0, 1, 2
 
 
 class _Element:
-    __slots__ = ("tag", "path", "skip", "parent", "depth")
+    """An element and what is handed down to it; what is inside it is added up later."""
 
-    def __init__(self, tag: str, parent: _Element | None, skip: bool, label: str):
-        self.tag, self.parent, self.skip = tag, parent, skip
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.depth = parent.depth + 1 if parent else 0
+    __slots__ = ("tag", "path", "skip", "parent", "depth", "name", "in_article", "in_header", "article", "marks", "chosen", "told", "near")
 
-    def within(self, *tags: str) -> bool:
-        e: _Element | None = self
-        while e:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
+    def __init__(self, tag: str, parent: _Element | None, path: int, skip: bool = False, name: int = PLAIN):
+        self.tag, self.parent, self.path, self.skip, self.name = tag, parent, path, skip, name
+        self.depth = parent.depth + 1 if parent else 0
+        self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
+        self.in_header = tag == "header" or bool(parent and parent.in_header)
+        self.article = False  # holds an article or main element, or is one
+        self.marks = self.chosen = 0  # punctuated characters and content blocks inside
+
+
+class Page:
+    """The elements of a page, parents first, and its blocks: (element, text, characters in links) in page order."""
+
+    def __init__(self) -> None:
+        self.root = _Element("", None, 0)
+        self.elements = [self.root]
+        self.blocks: list[tuple[_Element, str, int]] = []
+        self.labels: dict[tuple[int, str], int] = {}
+
+    def path(self, parent: _Element, label: str) -> int:
+        """A number for each root-to-element path of labels."""
+        return self.labels.setdefault((parent.path, label), len(self.labels) + 1)
+
+    def open(self, tag: str, parent: _Element, label: str, skip: bool, name: int) -> _Element:
+        e = _Element(tag, parent, self.path(parent, label), skip, name)
+        self.elements.append(e)
+        if tag in ("article", "main") and not skip:
+            above: _Element | None = e
+            while above and not above.article:
+                above.article, above = True, above.parent
+        return e
+
+
+def named(names: str) -> int:
+    """What the classes and the id of an element say."""
+    found = PLAIN
+    for name in names.lower().split():
+        words = set(WORDS.findall(name))
+        if words <= READERS | BESIDE and words & READERS or name in READERS:
+            return COMMENT
+        if words <= NO_CLASS | BESIDE and words & NO_CLASS:
+            found = ASIDE
+    return found
 
 
-def _passed_over(tag: str, attributes: str, parent: _Element) -> tuple[bool, str]:
-    """Whether an element is no article text, and its label in paths."""
+def _seen(tag: str, attributes: str, parent: _Element) -> tuple[bool, str, int]:
+    """Whether an element is set apart by HTML, its label in paths, what its names say."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
     label = f"{tag}.{'.'.join(sorted(found['class'].split()))}" if found.get("class") else tag
     if tag in NO_TEXT:
-        return True, label
+        return True, label, PLAIN
     if tag in ("html", "body", "article", "main"):
-        return False, label
-    words = set(WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        return False, label, PLAIN
     bare = {x.split("=")[0].lower() for x in attributes.split()}
     skip = (
-        bool(words & NO_CLASS)
-        or found.get("role", "").lower() in NO_ROLE
+        found.get("role", "").lower() in NO_ROLE
         or "hidden" in bare
         or found.get("aria-hidden", "").lower() == "true"
         or "display:none" in found.get("style", "").replace(" ", "").lower()
-        or (tag == "header" and not parent.within("article", "main"))
+        or (tag == "header" and not parent.in_article)
     )
-    return skip, label
+    unnamed = tag in HEADINGS or tag == "p"
+    return skip, label, PLAIN if unnamed else named(f"{found.get('class', '')} {found.get('id', '')}")
+
+
+def _open_apart(html: str) -> bool:
+    """Whether a comment, script or the like that isn't closed is open at the end."""
+    last = None
+    for last in re.finditer(_APART, html, re.S | re.I):
+        pass
+    return bool(last) and last.end() == len(html) and not re.search(r"-->\Z" if not last[1] else r"(?i)</" + last[1] + r"\s*>\Z", last[0])
+
+
+def _tokens(html: str) -> Iterator[re.Match]:
+    end, at, pattern, unclosed = html.rfind(">") + 1, 0, TOKEN, 0
+    while at < end:
+        for m in pattern.finditer(html, at, end):
+            yield m
+            at = m.end()
+            if pattern is TOKEN and m[3] is None and re.match(r"</?[a-zA-Z]", html[m.start() : m.start() + 3]) and m[1] is None:
+                unclosed += 1
+                if unclosed >= UNCLOSED:
+                    pattern = UNQUOTED
+                    break
+    if end < len(html) and not _open_apart(html[:end]):
+        rest = re.match(r"(?s)()()()()(?:(?!<[a-zA-Z/!?]).)+", html[end:])  # a tag that the page's end cuts off is no text
+        if rest:
+            yield rest
 
 
-def blocks(html: str) -> list[tuple[_Element, str, int]]:
-    """(element, text, characters in links) of each block that isn't passed over, in page order."""
-    root = _Element("", None, False, "")
-    stack: list[_Element] = [root]
-    found: list[tuple[_Element, str, int]] = []
+def read(html: str) -> Page:
+    """The page without what HTML itself sets apart from its text."""
+    page = Page()
+    stack: list[_Element] = [page.root]
+    open_tags: Counter[str] = Counter()
     buffer: list[str] = []
-    owner, linked, in_link = root, 0, 0
+    owner, linked, in_link = page.root, 0, 0
 
     def flush() -> None:
         nonlocal buffer, linked
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
-            if text and (owner.tag in HEADINGS or not _in_header(owner)):
-                found.append((owner, text, linked))
+            if text and (owner.tag in HEADINGS or not owner.in_header):
+                page.blocks.append((owner, text, linked))
             buffer, linked = [], 0
 
     def close_to(depth: int) -> None:
+        open_tags.subtract(e.tag for e in stack[depth:])
         del stack[depth:]
 
-    for m in TOKEN.finditer(html):
+    for m in _tokens(html):
         token = m[0]
-        if token[0] != "<" or token == "<":
+        if token[0] != "<" or token == "<" or m[3] == "" == m[1]:
             top = stack[-1]
             if not top.skip:
                 if not buffer:
@@ -151,6 +229,8 @@ def blocks(html: str) -> list[tuple[_Element, str, int]]:
         flush()
         in_link = 0
         if m[2]:
+            if open_tags[tag] <= 0:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     close_to(i)
@@ -172,70 +252,91 @@ def blocks(html: str) -> list[tuple[_Element, str, int]]:
         if stack[-1].tag in HEADINGS and tag in HEADINGS or stack[-1].tag == "p" and tag in BLOCK:
             close_to(len(stack) - 1)
         parent = stack[-1]
-        skip, label = (True, tag) if parent.skip else _passed_over(tag, m[4] or "", parent)
+        skip, label, name = (True, tag, PLAIN) if parent.skip else _seen(tag, m[4] or "", parent)
         if not (m[4] or "").endswith("/") or tag in BLOCK:
-            stack.append(_Element(tag, parent, skip, label))
+            stack.append(page.open(tag, parent, label, skip, name))
+            open_tags[tag] += 1
     flush()
-    return found
-
+    return page
 
-def _in_header(e: _Element) -> bool:
-    return e.within("header")
 
-
-def extract(html: str | None) -> str:
-    """The main text of a page."""
-    found = blocks(html) if html else []
-    if not found:
-        return ""
-    totals: dict[str, list[float]] = {}
+def ratios(found: list[tuple[_Element, str, int]]) -> dict[int, float]:
+    """The text and punctuation ratio of each path, less for text in links."""
+    totals: dict[int, list[float]] = {}
     for e, text, linked in found:
         t = totals.setdefault(e.path, [0, 0, 0, 0])
         t[0] += len(text)
         t[1] += len(PUNCTUATION.findall(text))
         t[2] += linked
         t[3] += 1
-    ratio = {p: n / k * (1 + c / k) * max(0.0, 1 - a / n) for p, (n, c, a, k) in totals.items()}
+    return {p: n / k * (1 + c / k) * max(0.0, 1 - a / n) for p, (n, c, a, k) in totals.items()}
+
+
+def scores(found: list[tuple[_Element, str, int]], kernel: tuple[float, ...] = KERNEL) -> tuple[dict[int, float], float]:
+    """Each path's mean fused ratio, and the deviation of the page's fused ratios."""
+    ratio, reach = ratios(found), len(kernel) // 2
     raw = [ratio[e.path] for e, _, _ in found]
     fused = []
     for i, x in enumerate(raw):
-        near = [(raw[i + d], w) for d, w in zip(range(-REACH, REACH + 1), KERNEL) if 0 <= i + d < len(raw)]
-        smooth = sum(r * w for r, w in near) / sum(w for _, w in near)
-        fused.append(math.sqrt(x * smooth))
+        near = [(raw[i + d], kernel[d + reach]) for d in range(-reach, reach + 1) if 0 <= i + d < len(raw)]
+        fused.append(math.sqrt(x * sum(r * w for r, w in near) / sum(w for _, w in near)))
     mean = sum(fused) / len(fused)
-    least = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    by_path: dict[str, list[float]] = {}
+    by_path: dict[int, list[float]] = {}
     for (e, _, _), x in zip(found, fused):
         by_path.setdefault(e.path, []).append(x)
-    content = {p for p, xs in by_path.items() if sum(xs) / len(xs) >= max(least, 1e-9)} or {max(by_path, key=lambda p: sum(by_path[p]))}
-    chosen = [e for e, _, _ in found if e.path in content]
-    container = _container(chosen)
-    if container.tag in ("", "html", "body"):
-        marks = [i for i, (e, _, _) in enumerate(found) if e.path in content]
-        kept = [t for i, (e, t, _) in enumerate(found) if e.path in content or (marks[0] <= i <= marks[-1]) or (e.tag in HEADINGS and i < marks[0])]
-    else:
-        kept = [t for e, t, _ in found if _inside(e, container)]
-    return "\n".join(kept)
-
-
-def _container(chosen: list[_Element]) -> _Element:
-    """The lowest element around all of these, or the outermost article or main element around it."""
-    low = chosen[0].parent or chosen[0]
-    for e in chosen[1:]:
-        while not _inside(e, low):
-            low = low.parent
-    e, article = low, None
-    while e:
-        if e.tag in ("article", "main"):
-            article = e
-        e = e.parent
-    return article or low
-
-
-def _inside(e: _Element | None, container: _Element) -> bool:
-    while e and e.depth > container.depth:
-        e = e.parent
-    return e is container
+    return {p: sum(xs) / len(xs) for p, xs in by_path.items()}, math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
+
+
+def _told(page: Page) -> list[int]:
+    """What the names around each block say, where they say anything."""
+    for e, text, _ in page.blocks:
+        if PUNCTUATION.search(text):
+            e.marks += len(text)
+    for e in reversed(page.elements):
+        if e.parent:
+            e.parent.marks += e.marks
+    article = any(e.in_article for e, _, _ in page.blocks)
+    for e in page.elements:
+        heard = e.name and not e.article and (e.name == COMMENT or article or 2 * e.marks <= page.root.marks)
+        e.told = max(e.name if heard else PLAIN, e.parent.told if e.parent else PLAIN)
+    return [e.told for e, _, _ in page.blocks]
+
+
+def _region(page: Page, content: list[bool]) -> list[bool]:
+    """Which blocks are in the lowest element around all content blocks, or the outermost article or main element around that."""
+    for (e, _, _), c in zip(page.blocks, content):
+        e.chosen += c
+    for e in reversed(page.elements):
+        if e.parent:
+            e.parent.chosen += e.chosen
+    every = sum(content)
+    around = [e for e in page.elements if e.chosen == every]  # one below the other
+    region = around[-1]
+    if all(e is region for (e, _, _), c in zip(page.blocks, content) if c) and region.parent:
+        region = region.parent  # one element's own text: its neighbours may go with it
+    region = next((e for e in around if e.tag in ("article", "main")), region)
+    if region.tag in ("", "html", "body"):
+        first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+        return [first <= i <= last or (e.tag in HEADINGS and i < first) for i, (e, _, _) in enumerate(page.blocks)]
+    for e in page.elements:
+        e.near = e is region or bool(e.parent and e.parent.near)
+    return [e.near for e, _, _ in page.blocks]
+
+
+def extract(html: str | None, threshold: float = THRESHOLD, kernel: tuple[float, ...] = KERNEL) -> str:
+    """The main text of a page."""
+    page = read(html or "")
+    if not page.blocks:
+        return ""
+    score, deviation = scores(page.blocks, kernel)
+    told = _told(page)
+    reached = [score[e.path] > 0 and score[e.path] >= threshold * deviation for e, _, _ in page.blocks]
+    content = [r and t == PLAIN for r, t in zip(reached, told)]
+    if not any(content):
+        content = [r and t == ASIDE for r, t in zip(reached, told)]
+    if not any(content):
+        return ""
+    return "\n".join(text for (_, text, _), c, n, t in zip(page.blocks, content, _region(page, content), told) if c or (n and not t))
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
