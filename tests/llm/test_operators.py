@@ -75,7 +75,7 @@ def test_unigram_takes_the_lightest_path(tmp_path):
 def test_line_dedup_on_odd_rows(spark):
     rows = [(i, f"menu\nown {i}\n\nfoot", "s") for i in range(8)] + [(20, None, "s"), (21, "", None), (22, "menu", "t"), (23, "only", "s"), *[(30, "copy\nmenu", "s")] * 30]
     for few in (line_dedup.BROADCAST_LINES, 0):  # both ways of joining
-        out = line_dedup.line_dedup(frame(spark, rows), max_ratio=0.3, broadcast_lines=few).collect()
+        out = line_dedup.line_dedup(frame(spark, rows), max_ratio=0.3, min_pages=5, copies_once=True, broadcast_lines=few).collect()
         assert len(out) == len(rows) and set(out[0].asDict()) == {"doc_id", "text", "source", "again", "n_lines", "n_dropped"}
         got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in out}
         assert got[3] == ("own 3\n", 4, 2) and got[20] == (None, 0, 0) and got[21] == ("", 1, 0) and got[22] == ("menu", 1, 0)
@@ -193,7 +193,7 @@ def test_next_row_over_many_ranges(spark):
 # --- 7 ---
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -207,7 +207,7 @@ def brute_groups(rows):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -380,6 +380,6 @@ def test_pipeline(spark):
     rows = [{r["doc_id"]: r["text"] for r in d.collect()} for d in seen[:-1]]
     good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
     assert len(good - set(rows[1])) <= 0.03 * len(good) and len(rows[1]) < len(rows[0])
-    assert {i for i, (_, c) in brute_groups(list(rows[2].items())).items() if i == c} == set(rows[3])
+    assert {i for i, (_, c) in brute_groups(list(rows[2].items()), C.NEAR_COPIES).items() if i == c} == set(rows[3])
     assert not any(surrogates.find(t) and [v for s, e, _ in surrogates.find(rows[3][i]) if (v := rows[3][i][s:e]) in t] for i, t in rows[4].items())
     assert {r["doc_id"] for r in seen[-1].collect()} == set(rows[4])
