@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(line_dedup.line_dedup(docs, max_ratio=LINE_RATIO, min_pages=LINE_PAGES), docs)
+    return _like(line_dedup.line_dedup(docs, max_ratio=LINE_RATIO, min_pages=LINE_PAGES, copies_once=True), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
