@@ -17,12 +17,16 @@ IBAN_LENGTHS = {
     "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
     "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
-PRIVATE_NETWORKS = "10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 127.0.0.0/8 169.254.0.0/16 100.64.0.0/10 ::1/128 fc00::/7 fe80::/10".split()
-TOP_DOMAINS = (
-    "com net org edu gov mil int io de at ch eu uk us fr nl it es pl se no dk fi be cz pt ie lu li info biz cloud dev app tech ai co me tv cc "
-    "internal local corp lan intra home test example invalid localhost"
-).split()
-FILE_ENDINGS = "txt py js ts json yaml yml md html css png jpg jpeg gif svg pdf zip tar gz log csv xml ini cfg toml sh exe dll so".split()
+PRIVATE_NETWORKS = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "::1/128", "fc00::/7", "fe80::/10"]
+TOP_DOMAINS = [
+    "com", "net", "org", "edu", "gov", "mil", "int", "io", "de", "at", "ch", "eu", "uk", "us", "fr", "nl", "it", "es", "pl", "se", "no", "dk", "fi",
+    "be", "cz", "pt", "ie", "lu", "li", "info", "biz", "cloud", "dev", "app", "tech", "ai", "co", "me", "tv", "cc", "internal", "local", "corp", "lan",
+    "intra", "home", "test", "example", "invalid", "localhost",
+]
+FILE_ENDINGS = [
+    "txt", "py", "js", "ts", "json", "yaml", "yml", "md", "html", "css", "png", "jpg", "jpeg", "gif", "svg", "pdf", "zip", "tar", "gz", "log", "csv",
+    "xml", "ini", "cfg", "toml", "sh", "exe", "dll", "so",
+]
 VIN_LETTERS, VIN_LETTER_VALUES = "ABCDEFGHJKLMNPRSTUVWXYZ", (1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 7, 9, 2, 3, 4, 5, 6, 7, 8, 9)
 VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
 PENSION_WEIGHTS = (2, 1, 2, 5, 7, 1, 2, 1, 2, 1, 2, 1)

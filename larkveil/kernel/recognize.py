@@ -15,11 +15,15 @@ from larkveil.plans.catalog import COUNTRIES, PATTERNS, SALUTATIONS, WORD_LISTS,
 # --- Fixed values: windows, confidences, words and patterns ---
 WINDOW, HEALTH_WINDOW, LEAST_DIGITS = 40, 60, 6
 FOUND, VALID, WITH_WORD, MOST = 0.90, 0.95, 0.03, 0.99
-STANDARDS = (
-    "ISO IEC RFC IEEE DIN EN SHA MD UTF HTTP TLS SSL GPT COVID CVE CWE OWASP PCI DSS NIST GDPR DSGVO BGB HGB SGB VDE ANSI ASCII JSON XML HTML CSS IPV "
-    "WCAG ECMA POSIX UTC GMT ISBN ISSN"
-).split()
-STOP_WORDS = "true false yes no none null nein ja der die das the and und of von for für is ist am im in on".split()
+STANDARDS = [
+    "ISO", "IEC", "RFC", "IEEE", "DIN", "EN", "SHA", "MD", "UTF", "HTTP", "TLS", "SSL", "GPT", "COVID", "CVE", "CWE", "OWASP", "PCI", "DSS", "NIST",
+    "GDPR", "DSGVO", "BGB", "HGB", "SGB", "VDE", "ANSI", "ASCII", "JSON", "XML", "HTML", "CSS", "IPV", "WCAG", "ECMA", "POSIX", "UTC", "GMT", "ISBN",
+    "ISSN",
+]
+STOP_WORDS = [
+    "true", "false", "yes", "no", "none", "null", "nein", "ja", "der", "die", "das", "the", "and", "und", "of", "von", "for", "für", "is", "ist", "am",
+    "im", "in", "on",
+]
 HEALTH_WORDS = ("diagnose", "diagnosis", "diagnosed", "leidet an", "suffers from", "befund", "therapie", "treatment", "medikation", "medication")
 SALUTATION = (
     r"(?:Sehr geehrte[r]?|Dear|Hallo|Hi|Liebe[r]?)?\s*\b(Frau|Herr|Herrn|Mrs\.?|Mr\.?|Ms\.?|Mx\.?)\s+"
@@ -59,7 +63,10 @@ NEEDS = {
     "GITLAB_TOKEN": ("glpat-",), "PERSONAL_ACCESS_TOKEN": ("xox",),
 }
 NEEDS_DIGIT = frozenset(
-    "PHONE MOBILE_PHONE FAX GPS_COORDINATES DATE_OF_BIRTH SOCIAL_SECURITY_ID VEHICLE_REGISTRATION GENERIC_ID IBAN CREDIT_CARD CARD_EXPIRY CVV PIN TAN OTP".split()
+    [
+    "PHONE", "MOBILE_PHONE", "FAX", "GPS_COORDINATES", "DATE_OF_BIRTH", "SOCIAL_SECURITY_ID", "VEHICLE_REGISTRATION", "GENERIC_ID", "IBAN",
+    "CREDIT_CARD", "CARD_EXPIRY", "CVV", "PIN", "TAN", "OTP",
+]
 )
 NEEDS_PATTERN = {
     "IP_ADDRESS": re.compile(r"\.\d+\.\d|:[0-9a-fA-F]+:"), "MAC_ADDRESS": re.compile(r"[:-][0-9A-Fa-f]{2}[:-]"), "FQDN": re.compile(r"\.[A-Za-z]{2}"),
