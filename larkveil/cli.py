@@ -28,28 +28,39 @@ def _settings(spark, args):
 def pseudonymize(spark, args) -> int:
     """Texts to <out>/texts, the encrypted mapping to <out>/mappings and <out>/forms, sessions to <out>/sessions."""
     settings = _settings(spark, args)
-    done = P.pseudonymize(files.read_texts(spark, args.input), settings)
-    # results with fresh nonces and ids are written once; all that follows reads what was written
-    done.withColumn("session_id", F.sha2(F.col("path"), 256)).write.mode("errorifexists").parquet(f"{args.out}/staged")
-    rows = spark.read.parquet(f"{args.out}/staged")
-    clean = rows.where("status = 'ok'")
-    clean.select("path", "session_id", "text").write.parquet(f"{args.out}/texts")
-    entries = clean.select("session_id", F.explode("mapping").alias("m")).select("session_id", "m.token", F.col("m.cls").alias("data_class"), "m.value", "m.forms", F.col("m.attrs").alias("attributes"))
-    mappings, forms = vault.store(entries, vault.load_or_create_key(args.key))
-    mappings.write.parquet(f"{args.out}/mappings")
-    forms.write.parquet(f"{args.out}/forms")
-    sessions = clean.select(F.col("session_id").alias("id"), F.current_timestamp().alias("created_at"), F.lit("").alias("doc_sha256"), F.lit(settings.fingerprint()).alias("config_hash"), F.col("path").alias("external_key"))
-    sessions.write.parquet(f"{args.out}/sessions")
-    files.append_audit(files.audit_of(rows, "session_id"), settings.audit_path)
-    # the staged rows hold values in the clear: they go
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{args.out}/staged")
-    failed = rows.where("status <> 'ok'").count()
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    key = vault.load_or_create_key(args.key)
+    done = P.pseudonymize(files.read_texts(spark, args.input), settings).withColumn("session_id", F.sha2(F.col("path"), 256))
+    # results with fresh nonces are written once; all that follows reads what was written, and that holds sealed values only
+    sealed = done.withColumn("n_tokens", F.size("mapping")).withColumn("mapping", _sealed(key)).drop("leaks")
+    staged = f"{args.out}/staged"
+    try:
+        sealed.write.mode("errorifexists").parquet(staged)
+        rows = spark.read.parquet(staged)
+        clean = rows.where("status = 'ok'")
+        clean.select("path", "session_id", "text").write.parquet(f"{args.out}/texts")
+        entries = clean.select("session_id", F.explode("mapping").alias("m"))
+        entries.select("session_id", "m.token", "m.data_class", "m.sealed", "m.attributes").write.parquet(f"{args.out}/mappings")
+        forms = entries.select("session_id", F.col("m.token").alias("token"), F.posexplode("m.forms").alias("ordinal", "sealed"))
+        forms.write.parquet(f"{args.out}/forms")
+        sessions = clean.select(F.col("session_id").alias("id"), F.current_timestamp().alias("created_at"), F.lit("").alias("doc_sha256"), F.lit(settings.fingerprint()).alias("config_hash"), F.col("path").alias("external_key"))
+        sessions.write.parquet(f"{args.out}/sessions")
+        files.append_audit(files.audit_of(rows, "session_id", "n_tokens"), settings.audit_path)
+        failed = rows.where("status <> 'ok'").count()
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if failed:
         print(f"{failed} texts were withheld: they would have leaked", file=sys.stderr)
     return 2 if failed else 0
 
 
+def _sealed(key: bytes):
+    """The mapping column with sealed values and forms."""
+    place = lambda m, *more: F.concat_ws("|", F.col("session_id"), m["token"], *more)
+    forms = lambda m: F.transform(m["forms"], lambda f, i: vault.seal(f, key, place(m, i.cast("string"))))
+    return F.transform("mapping", lambda m: F.struct(m["token"].alias("token"), m["cls"].alias("data_class"), vault.seal(m["value"], key, place(m)).alias("sealed"), forms(m).alias("forms"), m["attrs"].alias("attributes")))
+
+
 def restore(spark, args) -> int:
     """Answers (JSON lines: doc, session_id, text) with values, to <out>."""
     entries = vault.load(spark.read.parquet(f"{args.vault}/mappings"), spark.read.parquet(f"{args.vault}/forms"), vault.load_or_create_key(args.key))

@@ -61,12 +61,12 @@ def audit_rows(spark: SparkSession, *rows: dict) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], AUDIT).withColumn("ts", F.current_timestamp())
 
 
-def audit_of(pseudonymized: DataFrame, key: str = "doc_id") -> DataFrame:
-    """An audit row for each text: status and numbers of tokens, no value."""
+def audit_of(pseudonymized: DataFrame, key: str = "doc_id", tokens: str | None = None) -> DataFrame:
+    """An audit row for each text: status and numbers of tokens (from column ``tokens``, else from the mapping), no value."""
     return pseudonymized.select(
         F.lit("pseudonymize").alias("event"),
         F.col(key).cast("string").alias("session"),
-        F.when(F.col("status") == "ok", F.size("mapping")).otherwise(0).cast("long").alias("token_count"),
+        F.when(F.col("status") == "ok", F.col(tokens) if tokens else F.size("mapping")).otherwise(0).cast("long").alias("token_count"),
         F.col("status").alias("leakage"),
     )
 

@@ -2,10 +2,11 @@
 
 Values are sealed with AES-256-GCM by Spark's own function: a fresh nonce for each, and the place
 (session|token, for forms session|token|ordinal) as additional data, so that a sealed value can't
-be moved elsewhere. Nonce, text and tag are one binary. The key is a column argument that is
-redacted from plans by ``spark.sql.redaction.string.regex`` if set to match it; it is never stored
-with the tables. Changes give new tables (Parquet has no update in place); ``save`` writes a
-version by session partitions.
+be moved elsewhere. Nonce, text and tag are one binary. The key is an argument of the plan, so
+sealing and opening first see to it that ``spark.sql.redaction.string.regex`` takes numbers of 64
+hexadecimal digits out of plans as they are shown in ``explain``, the UI and event logs; it is never
+stored with the tables. Changes give new tables (Parquet has no update in place); ``save`` writes a
+version in ``BUCKETS`` folders by a hash of the session.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import os
 import stat
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,16 +49,33 @@ def load_or_create_key(path: str) -> bytes:
     return key
 
 
+#: Folders of a saved table; a session is in one of them.
+BUCKETS = 256
+#: What a key looks like in a plan, as text or as binary.
+KEY_IN_PLANS = r"(?:0x|X')?[0-9a-fA-F]{64}'?"
+REDACTION = "spark.sql.redaction.string.regex"
+
+
+def _hide_keys() -> None:
+    """Plans of the session are shown without keys from here on."""
+    conf = SparkSession.active().conf
+    own = conf.get(REDACTION, None)
+    if not own or KEY_IN_PLANS not in own:
+        conf.set(REDACTION, f"(?:{own})|{KEY_IN_PLANS}" if own else KEY_IN_PLANS)
+
+
 def _place(*columns) -> Column:
     return F.concat_ws("|", *columns)
 
 
 def seal(value: Column, key: bytes, place: Column) -> Column:
+    _hide_keys()
     return F.aes_encrypt(value, F.unhex(F.lit(key.hex())), F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), place)
 
 
 def unseal(sealed: Column, key: bytes, place: Column) -> Column:
     """The value; null where key or place don't fit."""
+    _hide_keys()
     return F.try_aes_decrypt(sealed, F.unhex(F.lit(key.hex())), F.lit("GCM"), F.lit("DEFAULT"), place).cast("string")
 
 
@@ -132,5 +150,24 @@ def known_forms(entries: DataFrame) -> DataFrame:
 
 
 def save(table: DataFrame, path: str, by: str = "session_id") -> None:
-    """A version of a table, a folder for each session, so that purging one drops its files."""
-    table.write.mode("overwrite").partitionBy(by).parquet(path)
+    """A version of a table in BUCKETS folders by session, so that purging one rewrites its folder only and files stay few."""
+    table.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(BUCKETS)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read(spark: SparkSession, path: str, session: str | None = None, by: str = "session_id") -> DataFrame:
+    """A saved table, or one session's rows of it from its folder alone."""
+    table = spark.read.parquet(path)
+    if session is not None:
+        bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(session)), F.lit(BUCKETS)).cast("int")).first()[0]
+        table = table.where((F.col("bucket") == bucket) & (F.col(by) == session))
+    return table.drop("bucket")
+
+
+def exists(sessions: DataFrame, key: str) -> bool:
+    """Whether there is a session of this external key."""
+    return not sessions.where(F.col("external_key") == key).limit(1).isEmpty()
+
+
+def changed_settings(sessions: DataFrame, fingerprint: str) -> DataFrame:
+    """id, external_key of sessions that were made with other settings than these; a caller warns of them."""
+    return sessions.where(F.col("config_hash") != fingerprint).select("id", "external_key")

@@ -13,6 +13,8 @@ from larkveil.kernel.pipeline import Entry, restore
 from larkveil.kernel.sse import StreamRestorer
 
 OUT = "stream_id string, seq long, out binary"
+#: The state of a stream that nothing came for so long is forgotten.
+TTL_MS = 24 * 3600 * 1000
 
 
 def _changer(mapping: dict[str, tuple]):
@@ -41,9 +43,9 @@ class Restorer(StatefulProcessor):
         self.mapping = mapping
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getValueState("buffer", "b binary")
-        self.held = handle.getMapState("held", "i int", "t string")
-        self.inputs = handle.getMapState("inputs", "i int", "t string")
+        self.buffer = handle.getValueState("buffer", "b binary", TTL_MS)
+        self.held = handle.getMapState("held", "i int", "t string", TTL_MS)
+        self.inputs = handle.getMapState("inputs", "i int", "t string", TTL_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state = {
@@ -51,9 +53,16 @@ class Restorer(StatefulProcessor):
             "held": {k[0]: v[0] for k, v in self.held.iterator()},
             "inputs": {k[0]: v[0] for k, v in self.inputs.iterator()},
         }
-        machine, out = StreamRestorer(_changer(self.mapping), state), []
+        machine, out, ended = StreamRestorer(_changer(self.mapping), state), [], False
         for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            out.append((str(key[0]), int(r.seq), machine.finish() if r.chunk is None else machine.feed(bytes(r.chunk))))
+            ended = r.chunk is None
+            out.append((str(key[0]), int(r.seq), machine.finish() if ended else machine.feed(bytes(r.chunk))))
+        if ended:  # nothing of a finished stream stays
+            self.buffer.clear()
+            self.held.clear()
+            self.inputs.clear()
+            yield pd.DataFrame(out, columns=["stream_id", "seq", "out"])
+            return
         self.buffer.update((machine.buffer,))
         for store, now in ((self.held, machine.held), (self.inputs, machine.inputs)):
             for k in [k[0] for k in store.keys()]:
