@@ -255,3 +255,15 @@ class Session:
         if len(self._done) > KEPT_RESULTS:
             del self._done[next(iter(self._done))]
         return out, []
+
+    def pseudonymize_all(self, texts: Iterable[str]) -> tuple[list[str] | None, list[Leak]]:
+        """The rewritten texts in order; if one leaks, None and its leaks, and the session is as it was before the first."""
+        before = self.entries, self.counters, self._known, dict(self._done)
+        out = []
+        for text in texts:
+            new, bad = self.pseudonymize(text)
+            if new is None:
+                self.entries, self.counters, self._known, self._done = before
+                return None, bad
+            out.append(new)
+        return out, []

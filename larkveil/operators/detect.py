@@ -28,10 +28,18 @@ def detector(settings: Settings) -> Detector:
     return _DETECTORS[mark]
 
 
+#: Inputs that are estimated to have fewer bytes for each core than this are dealt to all cores.
+SMALL_SHARE = 16 << 20
+
+
 def spread(docs: DataFrame) -> DataFrame:
-    """Rows over all cores where a scan of few or small files gives fewer partitions; large scans stay as they are."""
+    """A small input over all cores: its few files or row groups would keep few of them busy. Large scans stay as they are, without a shuffle."""
+    plan = getattr(docs, "_jdf", None)  # none on Spark Connect
+    if plan is None:
+        return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * SMALL_SHARE else docs
 
 
 def hit_row(h: Hit) -> dict:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkveil.kernel.pipeline import Entry, Session, restore
@@ -52,23 +52,40 @@ def pseudonymize(docs: DataFrame, settings: Settings | None = None, text: str =
     return spread(docs).mapInArrow(run, schema)
 
 
-def conversations(turns: DataFrame, settings: Settings | None = None, session: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Turns of each session in order, with tokens that go on: session, turn, text, status, n_tokens (of the session so far).
+def in_sessions(rows: DataFrame, session: str, order: list[str], step: Callable[[dict, Session], tuple], schema: T.StructType, settings: Settings) -> DataFrame:
+    """``step(row, session)`` for each row of each session in order, as rows of ``schema``.
 
-    A session's turns depend on each other, so one task has one session at a time.
+    Rows are dealt by session and sorted by it; a task walks through its rows with one running session, so what it
+    holds is a slice of rows and that session's tokens, however many rows a session has. Null sessions are rows of
+    their own session.
     """
-    settings = settings or Settings()
+    dealt = rows.repartition(session).sortWithinPartitions(F.col(session).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in order))
+    kinds = [arrow_type(f.dataType.simpleString()) for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, key, state = detector(settings), object(), None
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                out = []
+                for row in whole.slice(at, 500).to_pylist():
+                    if row[session] != key:
+                        key, state = row[session], Session(machine)
+                    out.append(step(row, state))
+                columns = zip(*out) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def conversations(turns: DataFrame, settings: Settings | None = None, session: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """Turns of each session in order, with tokens that go on: session, turn, text, status, n_tokens (of the session so far)."""
     schema = T.StructType([turns.schema[session], turns.schema[turn], T.StructField(text, T.StringType()), T.StructField("status", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Session(detector(settings)), []
-        for r in pdf.sort_values([turn, text], kind="stable", na_position="first").itertuples(index=False):
-            value = getattr(r, text)
-            out, bad = (None, []) if value is None else state.pseudonymize(value)
-            rows.append((getattr(r, session), getattr(r, turn), out, "failed" if bad else "ok", len(state.entries)))
-        return pd.DataFrame(rows, columns=schema.names)
+    def step(row: dict, state: Session) -> tuple:
+        out, bad = (None, []) if row[text] is None else state.pseudonymize(row[text])
+        return row[session], row[turn], out, "failed" if bad else "ok", len(state.entries)
 
-    return turns.select(session, turn, text).groupBy(session).applyInPandas(run, schema)
+    return in_sessions(turns.select(session, turn, text), session, [turn, text], step, schema, settings or Settings())
 
 
 def restore_texts(pseudonymized: DataFrame, text: str = "text", mode: str = "strict", key: str = "doc_id") -> DataFrame:

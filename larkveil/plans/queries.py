@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from larkveil.operators import detect as D
 from larkveil.operators import entities as E
 from larkveil.operators import intervals as I
 from larkveil.operators import pseudonymize as P
+from larkveil.operators import requests as Q
 from larkveil.operators import tokens as K
+from larkveil.plans import planted as L
 from larkveil.plans import relations as R
 from larkveil.plans.catalog import Settings
 from larkveil.sources import files, vault
@@ -189,6 +193,107 @@ def findings_pages(spark, sf_dir):
     return D.counts_by_class(_found(spark, sf_dir, "pages", "page_id", "html"))
 
 
+# --- planted values over the whole table of suppliers ---
+
+
+def _texts(spark, sf_dir, cases):
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    return spark.sql(L.texts_sql(cases))
+
+
+def _planted(cases):
+    def run(spark, sf_dir):
+        found = D.detect(_texts(spark, sf_dir, cases)).select("k", "rule", F.explode("findings").alias("f"))
+        return found.select("k", "rule", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), "f.cls", F.round(F.col("f.conf") * 100).cast("long").alias("percent"), "f.stage")
+
+    return run
+
+
+def _planted_tokens(cases):
+    def run(spark, sf_dir):
+        return P.pseudonymize(_texts(spark, sf_dir, cases)).select("k", "rule", "text", "status")
+
+    return run
+
+
+for _name, _cases in L.CASES.items():
+    for _made, _sql in ((_planted(_cases), L.spans_sql(_cases)), (_planted_tokens(_cases), L.tokens_sql(_cases))):
+        _made.__name__ = f"planted_{_name}" + ("_tokens" if _sql == L.tokens_sql(_cases) else "")
+        query(_sql)(_made)
+
+
+def _suppliers(spark, sf_dir, sql):
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    return spark.sql(sql)
+
+
+@query(L.spans_sql(L.WORD_CASES))
+def planted_words(spark, sf_dir):
+    """Words of one's own dictionaries: the longest, whole words, any case, genitives, hosts."""
+    found = D.detect(_texts(spark, sf_dir, L.WORD_CASES), replace(Settings(), dictionaries=L.OWN_WORDS)).select("k", "rule", F.explode("findings").alias("f"))
+    return found.select("k", "rule", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), "f.cls", F.round(F.col("f.conf") * 100).cast("long").alias("percent"), "f.stage")
+
+
+@query(L.turn_tokens_sql())
+def planted_sessions(spark, sf_dir):
+    """Tokens that go on through the turns of a session."""
+    return P.conversations(_suppliers(spark, sf_dir, L.turns_sql()))
+
+
+@query(L.leaks_sql())
+def planted_leaks(spark, sf_dir):
+    """What rewritten texts would still tell; they are withheld."""
+    done = P.pseudonymize(_suppliers(spark, sf_dir, L.texts_sql(L.LEAKING))).where("status = 'failed' AND text IS NULL")
+    return done.select("k", "rule", F.explode("leaks").alias("x")).select("k", "rule", "x.kind", "x.cls", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
+
+
+@query(L.request_texts_sql())
+def planted_request_texts(spark, sf_dir):
+    return R.request_texts(_suppliers(spark, sf_dir, L.requests_sql()).where("id % 8 < 2"))
+
+
+def _requests(spark, sf_dir):
+    return Q.with_session_key(_suppliers(spark, sf_dir, L.requests_sql()))
+
+
+@query(L.session_keys_sql())
+def planted_session_keys(spark, sf_dir):
+    return _requests(spark, sf_dir).select("id", "session_key")
+
+
+@query(L.answers_sql())
+def planted_requests(spark, sf_dir):
+    """Requests rewritten with their session's tokens: statuses, bodies, counts."""
+    return Q.pseudonymize_requests(_requests(spark, sf_dir)).select("id", "status", "body", "fields", "new_tokens", "reused_tokens", "leakage", "streaming")
+
+
+@query(L.audits_sql())
+def planted_audits(spark, sf_dir):
+    rows = Q.audit_of_requests(Q.pseudonymize_requests(_requests(spark, sf_dir)))
+    return rows.groupBy("event", "leakage").agg(F.count("*").alias("n"), *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("fields", "new_tokens", "reused_tokens")))
+
+
+def _mapping(spark, sf_dir):
+    return Q.session_mapping(Q.pseudonymize_requests(_requests(spark, sf_dir)))
+
+
+@query(L.restored_sql())
+def planted_responses(spark, sf_dir):
+    """Responses restored with what their session's requests were rewritten with."""
+    return Q.restore_responses(_suppliers(spark, sf_dir, L.responses_sql()), _mapping(spark, sf_dir))
+
+
+@query(L.streamed_sql())
+def planted_streams(spark, sf_dir):
+    """Answer streams in chunks of 41 bytes, each restored with its own session's mapping; the text of their deltas."""
+    raw = _suppliers(spark, sf_dir, L.stream_sql()).withColumn("bytes", F.encode("text", "UTF-8"))
+    chunks = raw.select("session_key", "stream_id", F.explode(F.sequence(F.lit(0), F.ceil(F.length("bytes") / 41).cast("int") - 1)).alias("seq"), "bytes")
+    chunks = chunks.select("session_key", "stream_id", F.col("seq").cast("long").alias("seq"), F.substring("bytes", F.col("seq") * 41 + 1, F.lit(41)).alias("chunk"))
+    whole = Q.restore_streams(chunks, _mapping(spark, sf_dir)).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "out"))).alias("parts"))
+    text = F.decode(F.aggregate("parts", F.encode(F.lit(""), "UTF-8"), lambda a, p: F.concat(a, p["out"])), "UTF-8")
+    return whole.select("stream_id", F.array_join(F.regexp_extract_all(text, F.lit('"text":"([^"]*)"'), F.lit(1)), "").alias("text"))
+
+
 def _pseudonymized(spark, sf_dir):
     return P.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
