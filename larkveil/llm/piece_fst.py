@@ -2,27 +2,32 @@
 
 Three machines are compiled from a model file and composed with each input:
 
-* the normaliser: spaces become ``▁``, one ``▁`` is put in front, replacement rules apply
-  leftmost-longest;
-* the pieces: a trie whose arcs carry piece ids and weights in the tropical semiring (minimum,
-  plus). For a unigram model a piece weighs its negative log score. For a BPE model pieces weigh 0
-  and the pieces are composed with an acceptor of pairs: two pieces may follow each other
-  (weight 0) only if merging their joined text gives exactly these two, else the weight is
-  infinite. The merges of a text give the one path of finite weight, because merges on both sides
-  of a border that is never merged across don't depend on each other;
+* the normaliser, a trie of replacement rules (given ones and those of the model's character map), which
+  apply leftmost-longest; spaces become ``▁``, one ``▁`` is put in front, spaces too many go if the model
+  says so;
+* the pieces: a trie whose states are walked along the text; a final state is an arc of the lattice, with
+  the piece's id and its weight in the tropical semiring (minimum, plus). For a unigram model a piece weighs
+  its negative log score. For a BPE model pieces weigh 0 and the lattice is composed with an acceptor of
+  pairs: two pieces may follow each other (weight 0) only if merging their joined text gives exactly these
+  two, else the weight is infinite. The merges of a text give the one path of finite weight, because merges
+  on both sides of a border that is never merged across don't depend on each other;
 * the byte fallback: a character that no piece covers goes through one arc for each of its bytes.
 
-The result is the shortest path. The pair acceptor is far too large to be written out (pieces
-squared), so its arcs are made on demand and kept. The lattice of a text falls apart at borders
-that no piece crosses; these are found when the model is compiled, and paths of the parts between
-them are kept, up to ``KEEP`` parts for each Python worker (then the store starts anew), which
+The result is the shortest path of the composition: for unigrams by relaxing arcs from left to right (the
+lattice has no cycles), for BPE best first. A state of the composition is a position and the piece that ends
+there; for BPE only one piece can end a finite path at a position, for unigrams the piece doesn't matter, so
+positions will do.
+The pair acceptor is far too large to be written out (pieces squared), so its arcs are made on demand and
+kept. The lattice of a text falls apart at borders that no piece crosses; these are found when the model is
+compiled, and paths of the parts between them are kept, at most ``KEEP`` for each Python worker, which
 changes the speed only.
 
 Decoding joins the pieces' bytes, undoes ``▁`` and drops the one space put in front.
 
-Runs as ``mapInArrow``: rows are independent, nothing is shuffled, memory is one Arrow batch and
-the store. Defined results: null text gives null ids and null decoded text; empty text gives no
-ids; control strings in a text are ordinary text; other columns pass through.
+Runs as ``mapInArrow``: rows are independent, nothing is shuffled, memory is one Arrow batch and the store.
+Defined results: null text gives null ids and null decoded text; empty text gives no ids; control strings in
+a text are ordinary text; texts of any length are encoded whole; repeated rows are encoded each; an empty
+table gives an empty table; other columns pass through, clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from operator import add
 
 import numpy as np
@@ -42,6 +48,7 @@ SPACE = "▁"
 KEEP = 300_000
 #: Rows that are held as Python objects at a time.
 ROWS = 256
+INFINITE = float("inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -74,11 +81,70 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             i += n
 
 
+def charsmap(data: bytes) -> dict[str, str]:
+    """The rules of a model's compiled character map: a double array of byte strings, then their replacements.
+
+    A unit has its offset to its children in the upper bits, whether a value hangs there, and its label.
+    """
+    size = struct.unpack_from("<I", data)[0]
+    units = struct.unpack_from(f"<{size // 4}I", data, 4)
+    blob, rules = data[4 + size :], {}
+    offset = lambda unit: (unit >> 10) << ((unit & (1 << 9)) >> 6)
+    stack = [(offset(units[0]), b"")] if units else []
+    while stack:
+        at, key = stack.pop()
+        for c in range(1, 256):
+            to = at ^ c
+            if to < len(units) and units[to] & 0x800000FF == c:
+                below = to ^ offset(units[to])
+                if units[to] >> 8 & 1:
+                    begin = units[below] & 0x7FFFFFFF
+                    rules[(key + bytes([c])).decode("utf-8", "replace")] = blob[begin : blob.index(b"\0", begin)].decode()
+                stack.append((below, key + bytes([c])))
+    return rules
+
+
+class Trie:
+    """Entries by their characters: a state is a dictionary of the states that follow, with the output at "" if it is final."""
+
+    def __init__(self, entries: dict[str, object]):
+        self.root: dict = {}
+        for key, value in entries.items():
+            state = self.root
+            for c in key:
+                state = state.setdefault(c, {})
+            state[""] = value
+
+    def ends(self, text: str, i: int) -> list[int]:
+        """Where the entries end that begin at i, shortest first."""
+        state, found, n = self.root, [], len(text)
+        while i < n:
+            c = text[i]
+            if c not in state:
+                break
+            state = state[c]
+            i += 1
+            if "" in state:
+                found.append(i)
+        return found
+
+    def longest(self, text: str, i: int) -> tuple[int, object]:
+        """Where the longest entry at i ends, and its output; (i, None) if there is none."""
+        ends = self.ends(text, i)
+        if not ends:
+            return i, None
+        state = self.root
+        for c in text[i : ends[-1]]:
+            state = state[c]
+        return ends[-1], state[""]
+
+
 class PieceTransducer:
     def __init__(self, path: str, rules: dict[str, str] | None = None):
         """``rules``: replacements of the normaliser besides those of white space."""
         self.pieces: list[tuple[str, float, int]] = []
-        self.unigram, self.dummy_prefix = True, True
+        self.unigram, self.dummy_prefix, self.fewer_spaces = True, True, True
+        mapped: dict[str, str] = {}
         with open(path, "rb") as f:
             for number, value in _fields(f.read()):
                 if number == 1:
@@ -89,17 +155,17 @@ class PieceTransducer:
                 elif number == 3:
                     x = dict(_fields(value))
                     self.dummy_prefix = bool(x.get(3, 1))
-                    if x.get(2) or x.get(4, 1):
-                        raise ValueError("this model's normaliser has a compiled map or removes spaces; give rules and use a model without")
+                    self.fewer_spaces = bool(x.get(4, 1))
+                    mapped = charsmap(x[2]) if x.get(2) else {}
         self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER, UNUSED)}
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
         self.score = {p: self.pieces[i][1] for p, i in self.ids.items()}
         self.penalty = 10.0 - min(self.score.values(), default=0.0)
-        self.rules = rules or {}
-        self._rule = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))) if self.rules else None
-        # a prefix tree as a set of all proper prefixes: the walk stops where no piece goes on
-        self._prefixes = {p[:n] for p in self.ids for n in range(1, len(p))}
+        self.rules = mapped | (rules or {})
+        self._normaliser = Trie(self.rules)
+        self._begins = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in self.rules}))) + "]") if self.rules else None
+        self._trie = Trie(self.ids)
         self._joined = {p[i - 1 : i + 1] for p in self.ids for i in range(1, len(p))}
         self._parts = re.compile(self._borders())
         levels = {x: i for i, x in enumerate(sorted(set(self.score.values()), reverse=True))}
@@ -107,6 +173,7 @@ class PieceTransducer:
         self._splits: dict[str, tuple[str, str] | None] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._store: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._bytes = [self._piece_bytes(p, kind) for p, _, kind in self.pieces]
 
     def _borders(self) -> str:
@@ -124,9 +191,16 @@ class PieceTransducer:
 
     def normalize(self, text: str) -> str:
         """Without the replacement of spaces, which ``_path`` does part by part; a ``▁`` of the text is as good as a space."""
+        if self._begins:
+            out, i = [], 0
+            while m := self._begins.search(text, i):
+                end, new = self._normaliser.longest(text, m.start())
+                out += [text[i : m.start()], text[m.start()] if new is None else new]
+                i = end if end > m.start() else m.start() + 1
+            text = "".join([*out, text[i:]])
         text = text.replace(SPACE, " ")
-        if self._rule:
-            text = self._rule.sub(lambda m: self.rules[m[0]], text)
+        if self.fewer_spaces:
+            text = re.sub(" {2,}", " ", text).strip(" ")
         return (" " + text) if self.dummy_prefix and text else text
 
     def _merge_once(self, parts: list[str]) -> list[str] | None:
@@ -173,85 +247,78 @@ class PieceTransducer:
         self._pairs[a, b] = ok
         return ok
 
-    def _arcs(self, text: str, i: int) -> list[str]:
-        """The pieces that leave position i, shortest first; a character without a piece goes through its bytes."""
-        ids, prefixes, n = self.ids, self._prefixes, len(text)
-        j = i + 1
-        piece = text[i]
-        out = [piece]
-        while piece in prefixes and j < n:
-            j += 1
-            piece = text[i:j]
-            if piece in ids:
-                out.append(piece)
-        return out
-
-    def _finite(self, text: str) -> list[str]:
-        """The path of weight 0 through the lattice composed with the acceptor of pairs.
-
-        Depth first, long arcs first. At most one piece can end a finite path to a position, so a
-        position from which nothing leads on is dead whatever led to it.
-        """
-        n, pos, before = len(text), 0, ""
-        path: list[str] = []
-        open_arcs = [self._arcs(text, 0)]
-        dead: set[int] = set()
-        pairs, follows = self._pairs, self._follows
-        while pos < n:
-            arcs = open_arcs[-1]
-            while arcs:
-                piece = arcs.pop()
-                if pos + len(piece) in dead:
-                    continue
-                ok = pairs.get((before, piece))
-                if follows(before, piece) if ok is None else ok:
-                    path.append(piece)
-                    pos += len(piece)
-                    before = piece
-                    if pos < n:
-                        open_arcs.append(self._arcs(text, pos))
-                    break
-            else:
-                dead.add(pos)
-                open_arcs.pop()
-                pos -= len(path.pop())
-                before = path[-1] if path else ""
-        return path
+    def _ends(self, text: str, i: int) -> list[int]:
+        """Where the arcs end that leave position i, shortest first; a character without a piece goes through its bytes."""
+        found = self._trie.ends(text, i)
+        if not found or found[0] > i + 1:
+            found.insert(0, i + 1)
+        return found
+
+    def shortest(self, text: str) -> list[str]:
+        """The pieces on the shortest path of the composition."""
+        last = self._relaxed(text) if self.unigram else self._best_first(text)
+        found, n = [], len(text)
+        while n:
+            found.append(last[n])
+            n -= len(last[n])
+        return found[::-1]
 
-    def _lightest(self, text: str) -> list[str]:
-        """The shortest path of a unigram model's lattice; of equals the one with the earlier last border."""
+    def _relaxed(self, text: str) -> list[str]:
+        """The last piece of the shortest path to each position, by relaxing arcs from left to right; of equals the earlier border."""
         n, score = len(text), self.score
-        cost: list[float] = [0.0] + [float("inf")] * n
-        last = [""] * (n + 1)
+        cost, last = [0.0] + [INFINITE] * n, [""] * (n + 1)
         for i in range(n):
-            for piece in self._arcs(text, i):
-                j = i + len(piece)
+            for j in self._ends(text, i):
+                piece = text[i:j]
                 there = cost[i] + (-score[piece] if piece in score else self.penalty)
                 if there < cost[j]:
                     cost[j], last[j] = there, piece
-        found = []
-        while n:
-            found.append(last[n])
-            n -= len(last[n])
-        return found[::-1]
+        return last
+
+    def _best_first(self, text: str) -> list[str]:
+        """The same where arcs weigh 0 or are infinite: states in the order of cost, of equals the furthest, until the end is reached.
+
+        An arc's weight is looked up when its turn comes, so most of the composition is never made.
+        """
+        n, last, pairs, follows = len(text), [""] * (len(text) + 1), self._pairs, self._follows
+        queue, wide = [], n + 1  # arcs as -(end * wide + begin): finite costs are all 0
+        begin = 0
+        while True:
+            for end in self._ends(text, begin):
+                if not last[end]:
+                    heappush(queue, -(end * wide + begin))
+            while True:
+                end, at = divmod(-heappop(queue), wide)
+                if last[end]:
+                    continue
+                pair = (last[at], text[at:end])
+                ok = pairs.get(pair)
+                if ok or ok is None and follows(*pair):
+                    break
+            last[end] = pair[1]
+            if end == n:
+                return last
+            begin = end
+
+    def _part(self, part: str) -> bytes:
+        """The kept path of a part, or a new one. Of two stores the older is dropped when the younger is full; what is asked for stays."""
+        path = self._older.get(part)
+        if path is None:
+            path = self._path(part)
+        if len(part) <= 40:
+            if len(self._store) >= KEEP // 2:
+                self._older, self._store = self._store, {}
+            self._store[part] = path
+        return path
 
     def _path(self, part: str) -> bytes:
         """Ids on the shortest path of one part, which is cut once more where no piece joins two characters."""
-        text, joined, store = part.replace(" ", SPACE), self._joined, self._store
+        text, joined = part.replace(" ", SPACE), self._joined
         cuts = [i for i, x in enumerate(map(add, text, text[1:]), 1) if x not in joined]
         if cuts:
-            out = []
-            for i, j in zip([0, *cuts], [*cuts, len(text)]):
-                own = part[i:j]
-                path = store.get(own)
-                if path is None:
-                    path = self._path(own)
-                    if j - i <= 40:
-                        store[own] = path
-                out.append(path)
-            return b"".join(out)
+            return b"".join(self._store.get(own) or self._part(own) for own in (part[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])))
         ids: list[int] = []
-        for piece in self._lightest(text) if self.unigram else self._finite(text):
+        for piece in self.shortest(text):
             i = self.ids.get(piece)
             if i is not None:
                 ids.append(i)
@@ -263,17 +330,8 @@ class PieceTransducer:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
-        store, out = self._store, []
-        for part in self._parts.findall(self.normalize(text)):
-            path = store.get(part)
-            if path is None:
-                path = self._path(part)
-                if len(part) <= 40:
-                    if len(store) >= KEEP:
-                        store.clear()
-                    store[part] = path
-            out.append(path)
-        return b"".join(out)
+        kept, new = self._store.get, self._part
+        return b"".join([kept(part) or new(part) for part in self._parts.findall(self.normalize(text))])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

@@ -292,3 +292,102 @@ def test_no_weight_is_compared_with_a_cut(spark):
     kept = resampling.resample(docs, labels, share=0.5, chunk=0).select("doc_id").collect()
     bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
     assert 0.2 < len(bad & {r["doc_id"] for r in kept}) / len(bad) < 0.8
+
+
+# --- 1 ---
+
+
+def field(n, value):
+    return bytes([n << 3 | 2]) + varint(len(value)) + value
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def double_array(rules):
+    """A compiled character map of one-byte keys, laid out by hand: the root's children from 256 on, each with its value behind it."""
+    units, blob = [0] * 1024, b""
+    units[0] = 256 << 10
+    for i, (key, new) in enumerate(sorted(rules.items())):
+        to = 256 ^ ord(key)
+        leaf = 512 + i
+        units[to] = (to ^ leaf) << 10 | 1 << 8 | ord(key)
+        units[leaf] = len(blob) | 1 << 31
+        blob += new.encode() + b"\0"
+    body = np.array(units, "<u4").tobytes()
+    return np.array([len(body)], "<u4").tobytes() + body + blob
+
+
+def model(tmp_path, pieces, unigram=True, normaliser=b"\x18\x01\x20\x00"):
+    from larkveil.llm import piece_fst
+
+    rows = [field(1, field(1, t.encode()) + b"\x15" + np.float32(s).tobytes() + bytes([0x18, k])) for t, s, k in pieces]
+    (tmp_path / "m").write_bytes(b"".join(rows) + field(2, b"\x18" + bytes([1 if unigram else 2])) + field(3, normaliser))
+    return piece_fst.PieceTransducer(str(tmp_path / "m"))
+
+
+def test_a_compiled_character_map_is_a_normaliser(tmp_path):
+    from larkveil.llm import piece_fst
+
+    rules = {"A": "a", "B": "bb", "\t": " ", "x": ""}
+    assert piece_fst.charsmap(double_array(rules)) == rules
+    normaliser = field(2, double_array(rules)) + b"\x18\x01\x20\x01"
+    m = model(tmp_path, [("<unk>", 0, 2), ("▁", -2, 1), ("a", -1, 1), ("b", -1, 1), ("bb", -1.5, 1), ("▁a", -1, 1)], normaliser=normaliser)
+    assert m.normalize("  A\t\tBx ") == " a bb" and m.encode("  A\t\tBx ") == [5, 1, 4] and m.encode("x") == [] and m.encode(" ") == []
+
+
+def test_shortest_paths_by_brute_force(tmp_path):
+    rng = random.Random(1)
+    vocabulary = sorted({"".join(rng.choice("ab▁") for _ in range(rng.randint(1, 4))) for _ in range(25)} | {"a", "b", "▁"})
+    scores = {p: -rng.randint(1, 40) / 4 for p in vocabulary}
+    m = model(tmp_path, [("<unk>", 0, 2), *((p, s, 1) for p, s in scores.items())])
+
+    def paths(t):
+        if not t:
+            yield ()
+        for n in range(1, len(t) + 1):
+            if t[:n] in scores:
+                yield from ((t[:n], *rest) for rest in paths(t[n:]))
+
+    for _ in range(100):
+        text = "".join(rng.choice("ab▁") for _ in range(rng.randint(1, 9)))
+        best = min(-sum(scores[p] for p in path) for path in paths(text))
+        own = m.shortest(text)
+        assert "".join(own) == text and math.isclose(-sum(scores[p] for p in own), best)
+
+
+def test_merges_by_brute_force(tmp_path):
+    rng = random.Random(2)
+    letters = "abc"
+    vocabulary = list(letters)
+    while len(vocabulary) < 30:
+        p = rng.choice(vocabulary) + rng.choice(vocabulary)
+        if p not in vocabulary:
+            vocabulary.append(p)
+    rank = {p: i for i, p in enumerate(vocabulary)}
+    m = model(tmp_path, [("<unk>", 0, 2), *((p, -float(i), 1) for p, i in rank.items())], unigram=False)
+    for _ in range(300):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+        parts = list(text)
+        while len(parts) > 1:
+            pairs = [(rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]
+            if not pairs:
+                break
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert m.shortest(text) == parts
+
+
+def test_the_store_is_bounded(tmp_path, monkeypatch):
+    from larkveil.llm import piece_fst
+
+    monkeypatch.setattr(piece_fst, "KEEP", 100)
+    m = model(tmp_path, [("<unk>", 0, 2), ("▁", -1, 1), *((c, -1, 1) for c in "abcdefgh")])
+    rng = random.Random(3)
+    for i in range(300):
+        m.encode("".join(rng.choice("abcdefgh中文字") for _ in range(60)) if i % 2 else " ".join(words(rng, 20, 10_000)))
+        assert len(m._store) + len(m._older) <= 100
