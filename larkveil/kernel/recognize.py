@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator, Mapping
 from larkveil.kernel.checks import VALIDATORS, ip_scope
 from larkveil.kernel.hits import Hit
 from larkveil.kernel.terms import TermFinder
-from larkveil.kernel.text import digits_of
+from larkveil.kernel.text import digits_of, lower
 from larkveil.plans.catalog import COUNTRIES, PATTERNS, SALUTATIONS, WORD_LISTS, Settings
 
 # --- Fixed values: windows, confidences, words and patterns ---
@@ -106,6 +106,8 @@ def _tight(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 _DIGIT = re.compile(r"\d")
+#: Where a word begins with something else than a small ASCII letter.
+_CAPITAL = re.compile(r"(?<![^\W_])[^\W\d_a-z]")
 _USUAL: dict[str, tuple[str, ...] | None] = defaultdict(lambda: None, {n: tuple(p) for n, p in PATTERNS.items()})
 
 
@@ -162,16 +164,17 @@ class Dictionaries:
         on = settings.classes
         terms = [(t, c) for c, ts in settings.dictionaries.items() if settings.is_on(c) for t in ts]
         self.own = TermFinder(terms, [c for _, c in terms if on[c].genitive]) if terms else None
-        self.lists = [
-            (TermFinder([(t, c) for t in settings.word_lists[c]], [c] if on[c].genitive else []), c, conf)
-            for c, conf in WORD_LISTS.items()
-            if settings.is_on(c) and settings.word_lists.get(c)
-        ]
+        listed = [(c, conf) for c, conf in WORD_LISTS.items() if settings.is_on(c) and settings.word_lists.get(c)]
+        finders = [TermFinder([(t, c) for t in settings.word_lists[c]], [c] if on[c].genitive else []) for c, _ in listed]
+        self.lists = [(f, f.single_words(), *x) for f, x in zip(finders, listed)]
 
     def find(self, text: str) -> list[Hit]:
         out = [Hit(s, e, c, "dictionary", KNOWN_WORD) for s, e, c in self.own.find(text)] if self.own else []
-        for finder, cls, conf in self.lists:
-            out += [Hit(s, e, cls, "dictionary", conf, {"bundled": "true"}) for s, e, _ in finder.find(text) if text[s].isupper()]
+        # a listed word counts only if it begins with a capital
+        low, capitals = lower(text), [m.start() for m in _CAPITAL.finditer(text) if m[0].isupper()] if self.lists else []
+        for finder, single, cls, conf in self.lists:
+            found = finder.find_at(text, low, capitals) if single else finder.find(text)
+            out += [Hit(s, e, cls, "dictionary", conf, {"bundled": "true"}) for s, e, _ in found if text[s].isupper()]
         return sorted(out, key=lambda h: (h.start, h.end))
 
 

@@ -33,6 +33,15 @@ class TermFinder:
         self.starts = re.compile(r"(?<![^\W_])(?:" + _heads(set(lengths)) + ")") if self.what else None
         self.heads = sorted({len(h) for h in lengths}, reverse=True)
 
+    def single_words(self) -> bool:
+        """Whether every term is one run of letters, so that no two can overlap."""
+        return all(t.isalpha() for t in self.what)
+
+    def find_at(self, text: str, low: str, starts: Iterable[int]) -> list[tuple[int, int, object]]:
+        """The terms that begin at some word starts; ``low``: the text in lower case. For terms that are single words."""
+        own = self.lengths
+        return [(i, *hit) for i in starts if (low[i : i + 3] in own or low[i : i + 2] in own or low[i : i + 1] in own) and (hit := self._at(text, low, i))]
+
     def find(self, text: str) -> list[tuple[int, int, object]]:
         low, out, free = lower(text), [], 0
         for m in self.starts.finditer(low) if self.what else ():

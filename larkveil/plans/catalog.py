@@ -7,6 +7,8 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
+from larkveil.plans import names
+
 # --- Fixed values: classes, their order, priorities, policies, words and patterns ---
 
 POLICIES = ("tokenize", "redact", "ignore")
@@ -226,7 +228,7 @@ MEDICAL_TERMS = [
     "G35",
 ]
 
-#: Lists of known words: class, confidence. Names and cities come from files that the settings name.
+#: Lists of known words: class, confidence.
 WORD_LISTS = {"PERSON_FIRST_NAME": 0.3, "PERSON_LAST_NAME": 0.3, "CITY": 0.3, "MEDICAL_INFORMATION": 0.8}
 
 # --- End of fixed values ---
@@ -267,13 +269,18 @@ def default_classes() -> dict[str, DataClass]:
     return out
 
 
+def default_words() -> dict[str, tuple[str, ...]]:
+    """Lists of known words where the settings name no files."""
+    return {"PERSON_FIRST_NAME": tuple(names.FIRST_NAMES), "PERSON_LAST_NAME": tuple(names.LAST_NAMES), "CITY": tuple(names.CITIES), "MEDICAL_INFORMATION": tuple(MEDICAL_TERMS)}
+
+
 @dataclass(frozen=True)
 class Settings:
     """Everything that decides what is found and what becomes of it; picklable, so kernels carry it."""
 
     classes: dict[str, DataClass] = field(default_factory=default_classes)
     dictionaries: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    word_lists: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"MEDICAL_INFORMATION": tuple(MEDICAL_TERMS)})
+    word_lists: dict[str, tuple[str, ...]] = field(default_factory=default_words)
     restore_mode: str = "strict"
     gender_from_salutation: bool = True
     languages: tuple[str, ...] = ("de", "en")

@@ -38,6 +38,9 @@ def h(n: int = 32, salt: str = "a") -> str:
     return f"substr(md5('{salt}' || CAST(k AS STRING)), 1, {n})"
 
 
+N = "CAST(k AS STRING)"
+
+
 def digit(place: int) -> str:
     return f"(CAST(floor(k / {10**place}) AS BIGINT) % 10)"
 
@@ -154,6 +157,10 @@ CONTEXT_CASES = {f"marker_{c.lower()}": _context(c, f"{w}: ", f"'x' || {d(5)}",
     "sip": _context("SIP_ADDRESS", "an ", "'sip:' || CAST(k AS STRING) || '@voip.example.com'", 95, " da"),
     "country": _context("COUNTRY", "nach ", q("Portugal"), 80, " ab"),
     "weak_initials": [q("von A. M. "), "CAST(k AS STRING)"],
+    "name_pair": [f"'gestern ' || {N} || ' kam '", Found("PERSON_FULL_NAME", q("Petra Schneider"), 85, "context", "<PERSON_001>"), q(" an")],
+    "name_in_columns": [f"{N} || ' | '", Found("PERSON_FULL_NAME", q("Petra | Schneider"), 85, "context", "<PERSON_001>"), q(" | an")],
+    "name_turned": [f"'gestern ' || {N} || ' kam '", Found("PERSON_FULL_NAME", q("Schneider, Petra"), 85, "context", "<PERSON_001>"), q(" an")],
+    "bare_name": [f"'gestern ' || {N} || ' kam Petra nach Hamburg'"],
     "stop_word": [q("Rechnung: nein, Projekt: offen "), "CAST(k AS STRING)"],
 }
 
@@ -221,7 +228,6 @@ def tokens_sql(cases: dict[str, list]) -> str:
 # --- known words, sessions, leaks ---
 
 OWN_WORDS = {"CUSTOMER_NAME": ("Muster Werke", "Muster", "Werke Nord"), "PROJECT_NAME": ("Blau-Weiß",), "CUSTOMER_DOMAIN": ("kunde.example",), "INTERNAL_DOMAIN": ("innen.example",), "PERSON_ALIAS": ("Fuchs",)}
-N = "CAST(k AS STRING)"
 
 
 def _word(cls: str, before: str, value: str, after: str) -> list:
