@@ -48,11 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a fresh folder is set.
+    Only where the session has none and runs on one machine (tests) a fresh folder is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: it has to name a folder that driver and executors share")
     fresh = tempfile.mkdtemp(prefix="larkveil-shared-")
     atexit.register(shutil.rmtree, fresh, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{fresh}")
@@ -69,14 +71,30 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/larkveil-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._larkveil_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what ``cut`` has written in this process; results that weren't written yet can't be read after it."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.remove(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``cut`` has written and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_larkveil_path", None)
+        if path in _WRITTEN:
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession, *but: DataFrame) -> None:
+    """Delete what ``cut`` has written in this process, but for some tables; results that weren't written yet can't be read after it."""
+    kept = {getattr(df, "_larkveil_path", None) for df in but}
+    for path in [p for p in _WRITTEN if p not in kept]:
+        _delete(spark, path)
 
 
 def fresh_name(taken: Iterable[str], stem: str) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkveil.llm.common import cut
+from larkveil.llm.common import cut, discard
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = _mark(edges)
     while mark[0]:
-        edges = cut(_star(_star(edges, True), False))
+        before, edges = edges, cut(_star(_star(edges, True), False))
+        discard(before)
         again = _mark(edges)
         if again == mark:
             break

@@ -29,7 +29,8 @@ Defined results: null and empty texts, and texts of white space, have the empty
 with nothing and kept; fewer than five words are one shingle, the whole sequence; repeated rows
 are linked like any equal texts; of rows with one id but different texts the one with the smallest
 digest stands for the id; rows with a null id have a null component and are kept; other columns
-pass through ``near_dedup`` untouched.
+pass through ``near_dedup`` untouched. Ids of other types than whole numbers: each row is linked by its
+own text, and a group has its smallest id that isn't null. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkveil.llm.common import cut, fresh_name, lean
+from larkveil.llm.common import cut, discard, fresh_name, lean
 from larkveil.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -244,8 +246,20 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(sizes & (estimate(F.col("p_a"), F.col("p_b")) >= least_estimate(percent))).select("a", "b")
 
 
+def _numbered(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """``near_duplicates`` for ids that aren't whole numbers: rows are numbered, written, and get their groups' smallest id in the end."""
+    number = fresh_name([key, text], "row")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias(number), key, text))
+    found = near_duplicates(rows, number, text, percent).join(rows.select(number, key), number)
+    least = found.groupBy("component_id").agg(F.min(key).alias("least"))
+    out = found.join(least, "component_id").select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.col("least")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        return _numbered(docs, key, text, percent)
     rows = cut(signatures(docs, key, text, percent))
     own = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("digest"))
     sets_of = rows.select("digest", "n", "bands", "planes").where("n > 0")
@@ -266,6 +280,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     checked = _compared(_with_sets(across, sets), percent).where("linked").select("a", "b")
     links = starred.unionAll(_among(anchored, percent)).unionAll(checked)
     groups = cut(components(links).join(nodes.select("id", "digest"), "id").select("digest", "component"))
+    discard(met, candidates, sets, anchored, across)
     alone = nodes.select("digest", "id")
     labels = alone.join(groups, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"))
     by_id = own.join(labels, "digest", "left").select("id", F.coalesce("component", "id").alias("component_id"))

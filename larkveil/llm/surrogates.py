@@ -58,7 +58,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkveil.llm.common import cut, fresh_name, lean
+from larkveil.llm.common import cut, discard, fresh_name, lean
 
 DEMO_KEY = b"larkveil-demo-key"
 KEY_SETTING, KEY_VARIABLE = "larkveil.surrogates.key", "LARKVEIL_SURROGATES_KEY"
@@ -527,7 +527,8 @@ def exceptions(values: DataFrame, key: bytes) -> DataFrame:
         if clash.isEmpty():
             break
         again = state.join(clash, ["kind", "value"], "left_semi").select(*own).withColumn("attempt", (F.col("attempt") + 1).cast("int"))
-        state = cut(state.join(clash, ["kind", "value"], "left_anti").unionByName(_drawn(again, key)))
+        before, state = state, cut(state.join(clash, ["kind", "value"], "left_anti").unionByName(_drawn(again, key)))
+        discard(before)
     else:
         full = state.join(clash, ["kind", "value"], "left_semi").where("space IS NOT NULL").select("space").distinct().withColumn("back", F.lit(0))
         state = state.join(full, "space", "left").withColumn("attempt", F.coalesce("back", "attempt"))
@@ -539,6 +540,7 @@ def surrogate(docs: DataFrame, text: str = "text", key: bytes | None = None, row
     key = drawing_key(docs.sparkSession) if key is None else key
     values = cut(entities(docs, text))
     again = cut(exceptions(values, key))
+    discard(values)
     kept = [c for c in docs.columns if c.lower() not in (text.lower(), "n_replaced")]
     extra = fresh_name(docs.columns, "again")
     if again.count() <= send:

@@ -391,3 +391,51 @@ def test_the_store_is_bounded(tmp_path, monkeypatch):
     for i in range(300):
         m.encode("".join(rng.choice("abcdefgh中文字") for _ in range(60)) if i % 2 else " ".join(words(rng, 20, 10_000)))
         assert len(m._store) + len(m._older) <= 100
+
+
+# --- 7 ---
+
+
+def test_ids_of_any_type(spark):
+    from larkveil.llm import minhash
+
+    rows = [("b", "one two three four five six"), ("a", "One two three\tfour five six"), ("z", "other words than those of the rest"), (None, "one two three four five six"), ("n", None), ("b", "one two three four five six")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"] or "", r["n_shingles"], r["component_id"] or "", r["kept"]) for r in out) == [
+        ("", 2, "", True), ("a", 2, "a", True), ("b", 2, "a", False), ("b", 2, "a", False), ("n", 0, "n", True), ("z", 3, "z", True),
+    ]
+    left = minhash.near_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(r["doc_id"] or "" for r in left) == ["", "a", "n", "z"]
+
+
+# --- written tables ---
+
+
+def test_written_tables_are_deleted(spark):
+    import os
+
+    from larkveil.llm import common, minhash
+
+    kept = common.cut(spark.range(3))
+    minhash.near_dedup(frame(spark, [(1, "a b c"), (2, "a b c")])).collect()
+    held = [p for p in common._WRITTEN if os.path.isdir(p.removeprefix("file://"))]
+    assert held == common._WRITTEN and len(held) > 1
+    common.release(spark, kept)
+    assert common._WRITTEN == [kept._larkveil_path] and kept.count() == 3
+    common.discard(kept, spark.range(1))
+    assert not common._WRITTEN
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from larkveil.llm import common
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
