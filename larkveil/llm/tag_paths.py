@@ -159,6 +159,9 @@ def _seen(tag: str, attributes: str, parent: _Element) -> tuple[bool, str, int]:
     return skip, label, PLAIN if unnamed else named(f"{found.get('class', '')} {found.get('id', '')}")
 
 
+_TAG = re.compile(r"</?[a-zA-Z]")
+
+
 def _open_apart(html: str) -> bool:
     """Whether a comment, script or the like that isn't closed is open at the end."""
     last = None
@@ -172,12 +175,13 @@ def _tokens(html: str) -> Iterator[re.Match]:
     while at < end:
         for m in pattern.finditer(html, at, end):
             yield m
-            at = m.end()
-            if pattern is TOKEN and m[3] is None and re.match(r"</?[a-zA-Z]", html[m.start() : m.start() + 3]) and m[1] is None:
+            if m.lastindex is None and m[0][0] == "<" and pattern is TOKEN and _TAG.match(html, m.start()):
                 unclosed += 1
                 if unclosed >= UNCLOSED:
-                    pattern = UNQUOTED
+                    pattern, at = UNQUOTED, m.end()
                     break
+        else:
+            break
     if end < len(html) and not _open_apart(html[:end]):
         rest = re.match(r"(?s)()()()()(?:(?!<[a-zA-Z/!?]).)+", html[end:])  # a tag that the page's end cuts off is no text
         if rest:
@@ -201,7 +205,8 @@ def read(html: str) -> Page:
             buffer, linked = [], 0
 
     def close_to(depth: int) -> None:
-        open_tags.subtract(e.tag for e in stack[depth:])
+        for e in stack[depth:]:
+            open_tags[e.tag] -= 1
         del stack[depth:]
 
     for m in _tokens(html):
