@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkveil.llm.common import fresh_name
 
@@ -84,41 +86,55 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.when(root(a) != root(b), F.filter(marked, lambda i: i >= 0))
 
 
-#: At most so many ranges of ids; the boundaries are all that the driver sees.
-MAX_RANGES = 4096
+#: Up to so many ranges they have ``chars_per_range`` characters; beyond, ``WIDE`` times as many, whatever their number.
+FINE_RANGES, WIDE = 4096, 16
+#: Sampled keys for each range, where boundaries come from a sample.
+SAMPLED = 16
+
+
+def _bounds(docs: DataFrame, key: str, n: int, rows: int) -> list:
+    """About n - 1 distinct keys that divide the rows evenly."""
+    if n <= FINE_RANGES:
+        found = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    else:
+        part = max(1, rows // (SAMPLED * n))
+        some = docs.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(part)) == 0)).select(key).toArrow().column(0).to_pylist()
+        some.sort()
+        found = [some[len(some) * i // n] for i in range(1, n)] if some else []
+    return sorted({b for b in found if b is not None})
 
 
 def with_next(docs: DataFrame, key: str, text: str, out: str, chars_per_range: int = 4_000_000) -> DataFrame:
     """``docs`` (key, text) with the text of the row that follows by key, after the last row the first, as ``out``.
 
     Rows are ordered by key (nulls first), then text. They are dealt to ranges of keys of about
-    equal numbers, whose boundaries come from percentiles; a window runs inside each range. The
-    last row of a range gets its follower from a copy of the next range's first row that is added
-    to the range before the only shuffle. So no task sees more than one range, and one hot key is
-    the only thing that can make a range large.
+    equal numbers, whose boundaries come from percentiles or, for many ranges, from a sample of
+    keys; a window runs inside each range. The last row of a range gets its follower from a copy of
+    the next range's first row that is added to the range before the only shuffle. So no task sees
+    more than one range, and one hot key is the only thing that can make a range large. The number
+    of ranges grows with the input: the driver has some keys for each 64 million characters.
     """
     size = docs.agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"), F.max(key).alias("top")).first()
     if not size["n"]:
         return docs.select(key, text).withColumn(out, F.lit(None).cast("string"))
-    n = max(1, min(MAX_RANGES, math.ceil((size["chars"] or 0) / chars_per_range), size["n"]))
-    step = max(1, math.isqrt(n))
-    bounds: list = []
-    if n > 1 and size["top"] is not None:
-        found = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0]
-        bounds = sorted({b for b in found or [] if b is not None})
+    chars = size["chars"] or 0
+    n = max(1, min(size["n"], max(min(FINE_RANGES, math.ceil(chars / chars_per_range)), math.ceil(chars / (WIDE * chars_per_range)))))
+    bounds = _bounds(docs, key, n, size["n"]) if n > 1 and size["top"] is not None else []
     # two levels of boundaries, so that a row is compared with about 2 * sqrt(n) of them
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if groups:
-        kind = docs.schema[key].dataType.simpleString()
-        lit = lambda xs: F.array(*[F.lit(x).cast(kind) for x in xs])
+    step = max(1, math.isqrt(n))
+    if bounds:
+        kind = docs.schema[key].dataType
+        whole = isinstance(kind, T.IntegralType)
+        lit = lambda xs: F.lit(np.array(xs, "int64")) if whole else F.array(*[F.lit(x).cast(kind) for x in xs])
         above = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col(key)))
-        which = above(lit([g[0] for g in groups]))
-        inner = F.element_at(F.array(*[lit(g) for g in groups]), F.greatest(which, F.lit(1)))
+        which = above(lit(bounds[::step]))
+        inner = F.slice(lit(bounds), F.greatest(which - 1, F.lit(0)) * step + 1, F.lit(step))
         number = F.when(F.col(key).isNull() | (which == 0), F.lit(0)).otherwise((which - 1) * step + above(inner))
     else:
         number = F.lit(0)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), number.cast("int").alias("r"))
-    firsts = sorted((x["r"], x["k"]) for x in rows.where("k IS NOT NULL").groupBy("r").agg(F.min("k").alias("k")).collect())  # as many rows as ranges
+    found = rows.where("k IS NOT NULL").groupBy("r").agg(F.min("k").alias("k")).toArrow().to_pydict()  # as many rows as ranges
+    firsts = sorted(zip(found["r"], found["k"]))
     has_null = bool(rows.where("k IS NULL").limit(1).count())
     ranges = [r for r, _ in firsts]
     first_of = dict(firsts)

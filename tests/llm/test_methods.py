@@ -439,3 +439,21 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.shared_dir(Session())
+
+
+# --- 6 ---
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_the_next_row_with_sampled_boundaries(spark, monkeypatch, kind):
+    from larkveil.llm import merkle
+
+    monkeypatch.setattr(merkle, "FINE_RANGES", 4)
+    rng = random.Random(3)
+    ids = [i if kind == "long" else f"k{i:06d}" for i in rng.sample(range(100_000), 400)] + [None]
+    rows = [(i, f"t{n} " * rng.randint(1, 30)) for n, i in enumerate(ids)] + [(ids[0], "dup")] * 5
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    out = merkle.with_next(df, "doc_id", "text", "n", chars_per_range=20)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else ids[0], r[1]))
+    expected = sorted(((k, t, n) for (k, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1])), key=repr)
+    assert sorted(((r["doc_id"], r["text"], r["n"]) for r in out.collect()), key=repr) == expected
