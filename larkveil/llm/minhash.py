@@ -16,9 +16,10 @@ of their sets is at least ``percent`` percent of the union; groups are the compo
    must overlap by a known number, and a prefix filter (all D in one order, what the anchor lacks
    first) leaves only pairs that share one of the first elements. So a group of thousands of
    variants of one text costs about a row each, not a row for each pair, and nothing is dropped.
-5. Nodes of different anchors that share a bucket are compared by their packed bits: the rate of
-   equal bits, corrected for equal bits by chance, estimates the similarity; pairs whose estimate
-   is at most 5 standard deviations short are compared on whole sets.
+5. Nodes of different anchors that share a bucket, and are of sizes that linked sets can have, are
+   compared by their packed bits where they meet: the rate of equal bits, corrected for equal bits
+   by chance, estimates the similarity; pairs whose estimate is at most 5 standard deviations short
+   are compared on whole sets. So texts that share a passage only never become pairs.
 6. The links' components are found by stars (see components.py).
 
 Sets are 64-bit hashes; whole sets are made again from the texts of candidates only. Tables that
@@ -35,6 +36,7 @@ own text, and a group has its smallest id that isn't null. An empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,19 +233,26 @@ def _among(anchored: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but different anchors whose packed bits are alike enough (step 5)."""
+    """Pairs (a, b) of one bucket but different anchors whose packed bits are alike enough (step 5).
+
+    Rows meet by bucket and class of size (linked sets differ by one class at most) and are compared in the join itself, so only
+    pairs that are alike enough ever become rows.
+    """
     main = members.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"), "anchor")).alias("top"), F.min("anchor").alias("low"), F.max("anchor").alias("high"))
     mixed = main.where("low <> high").select("bucket", F.col("top.anchor").alias("main"))
-    own = members.join(mixed, "bucket").select("bucket", "id", "anchor", "main")
-    left = own.where("anchor <> main").select("bucket", F.col("id").alias("a"), F.col("anchor").alias("anchor_a"))
-    right = own.select("bucket", F.col("id").alias("b"), F.col("anchor").alias("anchor_b"), (F.col("anchor") == F.col("main")).alias("is_main"))
-    met = left.join(right, "bucket").where("anchor_a <> anchor_b AND (is_main OR a < b)")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    p = nodes.select(F.col("id").alias("a"), F.col("planes").alias("p_a"), F.col("n").alias("s_a"))
-    q = nodes.select(F.col("id").alias("b"), F.col("planes").alias("p_b"), F.col("n").alias("s_b"))
-    both = pairs.join(p, "a").join(q, "b")
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    size = F.floor(F.log(F.col("n").cast("double")) / step).alias("size")
+    own = members.join(mixed, "bucket").select("bucket", "id", "anchor", "main").join(nodes.select("id", "n", "planes"), "id")
+    left = own.where("anchor <> main").select("bucket", size, F.col("id").alias("a"), F.col("anchor").alias("anchor_a"), F.col("n").alias("s_a"), F.col("planes").alias("p_a"))
+    right = own.select(
+        "bucket", F.explode(F.array(size - 1, size, size + 1)).alias("size"), F.col("id").alias("b"), F.col("anchor").alias("anchor_b"), (F.col("anchor") == F.col("main")).alias("is_main"),
+        F.col("n").alias("s_b"), F.col("planes").alias("p_b"),
+    )
+    x, y = left.alias("x"), right.alias("y")
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.size") == F.col("y.size")) & F.expr("anchor_a <> anchor_b AND (is_main OR a < b)")
     sizes = 100 * F.least("s_a", "s_b") >= percent * F.greatest("s_a", "s_b")
-    return both.where(sizes & (estimate(F.col("p_a"), F.col("p_b")) >= least_estimate(percent))).select("a", "b")
+    alike = estimate(F.col("p_a"), F.col("p_b")) >= least_estimate(percent)
+    return x.join(y, meet & sizes & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _numbered(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
