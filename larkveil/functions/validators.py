@@ -57,6 +57,25 @@ def ipv4_scope(value: Column) -> Column:
     return F.when(plain.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), F.when(private, "private").otherwise("public"))
 
 
+_HEXTET = "[0-9a-fA-F]{1,4}"
+_HEXTETS = f"(?:(?:{_HEXTET}:)*{_HEXTET})?"
+
+
+def ipv6_scope(value: Column) -> Column:
+    """private, public, or null where it is no IPv6 address (forms with an IPv4 address in them: kernel/checks.py)."""
+    plain = F.trim(value)
+    given = F.size(F.filter(F.split(plain, ":"), lambda x: x != ""))
+    valid = plain.rlike(f"^(?:{_HEXTET}:){{7}}{_HEXTET}$") | (plain.rlike(f"^{_HEXTETS}::{_HEXTETS}$") & (given <= 7))
+    first = F.conv(F.coalesce(F.nullif(F.split_part(plain, F.lit(":"), F.lit(1)), F.lit("")), F.lit("0")), 16, 10).cast("int")
+    loopback = plain.rlike("^(?:0{1,4}:){7}0{0,3}1$") | plain.rlike("^(?:(?:0{1,4}:)*0{1,4})?::(?:0{1,4}:)*0{0,3}1$")
+    private = loopback | first.between(0xFC00, 0xFDFF) | first.between(0xFE80, 0xFEBF)
+    return F.when(valid, F.when(private, "private").otherwise("public"))
+
+
+def ip_scope(value: Column) -> Column:
+    return F.coalesce(ipv4_scope(value), ipv6_scope(value))
+
+
 def fqdn(value: Column) -> Column:
     labels = F.split(F.lower(value), r"\.", -1)
     last = F.element_at(labels, -1)

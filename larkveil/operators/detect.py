@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,8 +57,11 @@ def arrow_type(ddl: str) -> pa.DataType:
     return to_arrow_type(T._parse_datatype_string(ddl))
 
 
-def detect(docs: DataFrame, settings: Settings | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with findings, entities and by_stage (how many each stage found); null text has none."""
+def detect(docs: DataFrame, settings: Settings | None = None, text: str = "text", extra: Sequence[Callable[[str, list[Hit]], list[Hit]]] = ()) -> DataFrame:
+    """``docs`` with findings, entities and by_stage (how many each stage found); null text has none.
+
+    ``extra``: stages of one's own after all others: from a text and what was found so far to what is new.
+    """
     settings = settings or Settings()
     types = {"findings": FINDINGS, "entities": ENTITIES, "by_stage": "map<string,int>"}
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in types.items())])
@@ -66,7 +69,7 @@ def detect(docs: DataFrame, settings: Settings | None = None, text: str = "text"
     kinds = {n: arrow_type(t) for n, t in types.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = detector(settings)
+        machine = Detector(settings, extra) if extra else detector(settings)
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.slice(at, 500)

@@ -286,6 +286,8 @@ class Settings:
     languages: tuple[str, ...] = ("de", "en")
     min_confidence: float = 0.5
     audit_path: str | None = None
+    vault_path: str | None = None
+    key_path: str | None = None
 
     def enabled(self) -> list[DataClass]:
         return [c for c in self.classes.values() if c.enabled]
@@ -351,6 +353,10 @@ def with_class(settings: Settings, name: str, given: dict) -> Settings:
     return replace(settings, classes=settings.classes | {name: replace(old, **new)})
 
 
+#: Variables that stand over all files.
+ENVIRONMENT = {"LARKVEIL_VAULT": "vault_path", "LARKVEIL_KEY_FILE": "key_path", "LARKVEIL_AUDIT": "audit_path", "LARKVEIL_RESTORE_MODE": "restore_mode"}
+
+
 def layered(*layers: dict, env: dict[str, str] | None = None) -> Settings:
     """Defaults, then each layer: class keys overwrite, dictionaries append what is new, the rest replaces."""
     out = Settings()
@@ -382,7 +388,11 @@ def layered(*layers: dict, env: dict[str, str] | None = None) -> Settings:
             least = layer["min_confidence"]
             _need(isinstance(least, (int, float)) and not isinstance(least, bool) and 0 <= least <= 1, "min_confidence must lie in 0..1")
             out = replace(out, min_confidence=float(least))
-    if env and env.get("LARKVEIL_RESTORE_MODE"):
-        out = replace(out, restore_mode=env["LARKVEIL_RESTORE_MODE"])
+        if "vault" in layer:
+            _known(layer["vault"], {"path", "key_file"}, "vault")
+            for name, value in layer["vault"].items():
+                _need(isinstance(value, str) and value.strip() != "", f"vault: {name} must not be blank")
+            out = replace(out, vault_path=layer["vault"].get("path", out.vault_path), key_path=layer["vault"].get("key_file", out.key_path))
+    out = replace(out, **{name: env[variable] for variable, name in ENVIRONMENT.items() if env and env.get(variable)})
     _need(out.restore_mode in ("strict", "lenient"), "restore: mode must be strict or lenient")
     return out

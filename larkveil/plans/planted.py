@@ -403,3 +403,20 @@ def stream_sql() -> str:
 
 def streamed_sql() -> str:
     return f"SELECT 'st' || {N} AS stream_id, 'Gut, ' || {MAIL_A} || ' ist da; ' || {MAIL_B} || '. ' || {DIALLED} || ' a <b und ' || {MAIL_A} || '.' AS text FROM {FROM}"
+
+
+# --- addresses ---
+
+#: SQL for an address, and its scope by the networks that are private.
+ADDRESSES = [
+    (f"'2a02:8:1:2:3:4:5:' || {h(4)}", "public"), (f"'2a02::' || {h(4)}", "public"), (f"'fd' || {h(2)} || '::' || {h(3)}", "private"), (f"'fe80::' || {h(4)} || ':1'", "private"),
+    ("'::1'", "private"), ("'0:0:0:0:0:0:0:1'", "private"), ("'0::0:1'", "private"), ("'::'", "public"), (f"'::' || {h(3)} || ':2'", "public"), (f"'ff02::' || {h(4)}", "public"),
+    (f"'10.' || CAST(k % 256 AS STRING) || '.0.1'", "private"), (f"'9.' || CAST(k % 256 AS STRING) || '.0.1'", "public"), ("'1:2:3'", None), ("'1::2::3'", None), ("'g::1'", None),
+    (f"'1:2:3:4:5:6:7:8:' || {h(1)}", None), (f"{h(4)} || '1::1'", None), ("'1:2:3:4:5:6:7::8'", None), ("'1:2:3:4:5:6::8'", "public"), ("'1:2:3:4:5:6:7:8::'", None), ("':1:2'", None), ("'10.0.0.256'", None),
+]
+
+
+def addresses_sql() -> str:
+    """k, n, value, scope."""
+    scope = lambda s: "CAST(NULL AS STRING)" if s is None else q(s)
+    return " UNION ALL ".join(f"SELECT k, CAST({i} AS BIGINT) AS n, {sql} AS value, {scope(s)} AS scope FROM {FROM}" for i, (sql, s) in enumerate(ADDRESSES))

@@ -227,6 +227,12 @@ def _suppliers(spark, sf_dir, sql):
     return spark.sql(sql)
 
 
+@query(L.addresses_sql())
+def planted_scopes(spark, sf_dir):
+    """Addresses of both versions and near misses, native."""
+    return _suppliers(spark, sf_dir, L.addresses_sql()).select("k", "n", "value", V.ip_scope(F.col("value")).alias("scope"))
+
+
 @query(L.spans_sql(L.WORD_CASES))
 def planted_words(spark, sf_dir):
     """Words of one's own dictionaries: the longest, whole words, any case, genitives, hosts."""

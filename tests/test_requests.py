@@ -116,3 +116,22 @@ def test_staged_rows_are_gone_whatever_happens(spark, tmp_path, mode, monkeypatc
     key = vault.load_or_create_key(str(tmp_path / "key"))
     entries = vault.load(spark.read.parquet(f"{tmp_path}/out/mappings"), spark.read.parquet(f"{tmp_path}/out/forms"), key).collect()
     assert [(e["token"], e["value"], e["forms"]) for e in entries] == [("<EMAIL_001>", "a@mail.example.com", ["a@mail.example.com"])]
+
+
+def test_own_stages_and_environment(spark):
+    from larkveil.kernel.hits import Hit
+    from larkveil.operators import detect as D
+    from larkveil.plans.catalog import SettingsError, layered
+
+    def shouted(text, before):
+        at = text.find("HEY")
+        return [Hit(at, at + 3, "PERSON_ALIAS", "shouted", 0.9)] if at >= 0 else []
+
+    out = D.detect(spark.createDataFrame([(1, "so HEY da")], "doc_id long, text string"), extra=[shouted]).first()
+    assert [(f["start"], f["cls"], f["stage"]) for f in out["findings"]] == [(3, "PERSON_ALIAS", "shouted")] and out["by_stage"]["shouted"] == 1
+    s = layered({"vault": {"path": "/v", "key_file": "/k"}}, env={"LARKVEIL_VAULT": "/w", "LARKVEIL_AUDIT": "/a", "LARKVEIL_RESTORE_MODE": "lenient"})
+    assert (s.vault_path, s.key_path, s.audit_path, s.restore_mode) == ("/w", "/k", "/a", "lenient")
+    with pytest.raises(SettingsError):
+        layered({"vault": {"path": " "}})
+    with pytest.raises(SettingsError):
+        layered({}, env={"LARKVEIL_RESTORE_MODE": "odd"})
