@@ -90,10 +90,18 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession, *but: DataFrame) -> None:
-    """Delete what ``cut`` has written in this process, but for some tables; results that weren't written yet can't be read after it."""
+def written() -> int:
+    """How many tables ``cut`` has written that are still there."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, *but: DataFrame, since: int = 0) -> None:
+    """Delete what ``cut`` has written in this process, or written since a number of tables, but for some of them.
+
+    Results that weren't written yet can't be read after it.
+    """
     kept = {getattr(df, "_larkveil_path", None) for df in but}
-    for path in [p for p in _WRITTEN if p not in kept]:
+    for path in [p for p in _WRITTEN[since:] if p not in kept]:
         _delete(spark, path)
 
 

@@ -457,3 +457,33 @@ def test_the_next_row_with_sampled_boundaries(spark, monkeypatch, kind):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else ids[0], r[1]))
     expected = sorted(((k, t, n) for (k, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1])), key=repr)
     assert sorted(((r["doc_id"], r["text"], r["n"]) for r in out.collect()), key=repr) == expected
+
+
+# --- the pipeline's stages on odd rows ---
+
+
+@pytest.mark.parametrize("name", ["quality", "lines", "near_duplicates", "private_data", "packing"])
+def test_stages_on_odd_rows(spark, name):
+    import corpus_pipeline as C
+
+    odd = "doc_id long, text string, lang string, source string, n_chars long, log_ratio string, draw_key string, n_lines string, n_replaced string, shard string, id string, digest string, host string, line string, anchor string"
+    more = ["x"] * 10
+    rows = [
+        (1, None, "en", "s", 7, *more), (2, "", "en", None, 7, *more), (None, "one two three four five six", None, "s", None, *more), (3, "one two three four five six", "en", "s", 7, *more),
+        (3, "one two three four five six", "en", "s", 7, *more), (4, "word " * 30_000, "en", "s", 7, *more), (5, "mail a@b.de\n\nmail a@b.de", "en", "t", 7, *more),
+    ]
+    docs = spark.createDataFrame(rows, odd)
+    stage = dict(C.STAGES)[name]
+    out = stage(spark, docs, SF)
+    got = out.collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 5, None} and sum(r["length"] for r in got if r["doc_id"] == 1) == 1
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        return
+    assert out.columns == docs.columns and all(r["shard"] == "x" and (r["n_chars"] is None if r["text"] is None else r["n_chars"] == len(r["text"])) for r in got)
+    assert sorted(str(r["doc_id"]) for r in got if r["text"] in (None, "")) == ["1", "2"]
+    if name == "near_duplicates":
+        assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "3", "3", "4", "5", "None"]
+    elif name != "quality":
+        assert len(got) == len(rows) and (name != "private_data" or "a@b" not in next(r["text"] for r in got if r["doc_id"] == 5))
+    assert stage(spark, docs.limit(0), SF).count() == 0
