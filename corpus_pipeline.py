@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 read again as the next stage's ``docs``. All but the last return the columns of ``documents``
 with their decisions applied: rejected rows are gone, texts are changed in place and ``n_chars``
 counts what is left.
+
+Defined results, in every stage: null texts stay null (n_chars null) and rows with them stay, but that
+packing takes them as empty; empty texts stay; rows with null ids stay; repeated rows go or stay together in
+quality, are pages each in lines, are one document in near_duplicates (which keeps one id, all its rows);
+an empty table gives an empty table; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkveil.llm import line_dedup, minhash, packing, resampling, surrogates
-from larkveil.llm.common import cut, ship, table
+from larkveil.llm.common import cut, release, ship, table, written
 from larkveil.llm.queries import special_tokens, split_pattern, tokenizer
 
 
@@ -61,9 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, begun = table(spark, sf_dir, "documents"), written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs)
+            release(spark, docs, since=begun)  # a stage's own tables and its input aren't read any more
     return docs
