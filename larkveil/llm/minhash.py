@@ -14,8 +14,9 @@ of their sets is at least ``percent`` percent of the union; groups are the compo
    Two nodes' sets differ by |D1| + |D2| - 2 |D1 and D2|, so whether they are linked follows from
    the Ds alone. If both are linked with the anchor they are in one group already. Else the Ds
    must overlap by a known number, and a prefix filter (all D in one order, what the anchor lacks
-   first) leaves only pairs that share one of the first elements. So a group of thousands of
-   variants of one text costs about a row each, not a row for each pair, and nothing is dropped.
+   first) leaves only pairs that share one of the first elements; these are compared by sizes and
+   packed bits (as in step 5) where they meet, and only those alike enough become rows. So a group
+   of thousands of variants of one text costs about a row each, not a row for each pair.
 5. Nodes of different anchors that share a bucket, and are of sizes that linked sets can have, are
    compared by their packed bits where they meet: the rate of equal bits, corrected for equal bits
    by chance, estimates the similarity; pairs whose estimate is at most 5 standard deviations short
@@ -206,23 +207,28 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def _among(anchored: DataFrame, percent: int) -> DataFrame:
+def _among(anchored: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes of one anchor, at least one of which isn't linked with it (step 4)."""
     apart_at_most = delta(percent)
     d = F.size("diff")
     half = F.floor(d * (1 - apart_at_most) / 2 - 1e-9).cast("int") + 1  # overlap with a node that isn't linked with the anchor, at least
     weak = F.greatest(F.lit(1), F.ceil((d - apart_at_most * (F.col("n_a") + F.col("n_b"))) / (1 + apart_at_most) - 1e-9).cast("int"))
-    rows = anchored.where("near AND a <> b").select(F.col("b").alias("anchor"), "a", "n_a", "linked", "diff", F.greatest(F.lit(0), d - half + 1).alias("index"), (d - weak + 1).alias("probe"))
+    near = anchored.where("near AND a <> b").join(nodes.select(F.col("id").alias("a"), "planes"), "a")
+    rows = near.select(F.col("b").alias("anchor"), "a", "n_a", "linked", "diff", "planes", F.greatest(F.lit(0), d - half + 1).alias("index"), (d - weak + 1).alias("probe"))
 
     def first(side: str, how_many: str, name: str) -> DataFrame:
         cells = F.posexplode(F.slice("diff", F.lit(1), F.col(how_many))).alias(f"at_{name}", "e")
-        return rows.where(side).select("anchor", F.col("a").alias(name), F.col("n_a").alias(f"m_{name}"), F.size("diff").alias(f"s_{name}"), cells)
+        own = rows.where(side).select("anchor", F.col("a").alias(name), F.col("n_a").alias(f"m_{name}"), F.size("diff").alias(f"s_{name}"), F.col("planes").alias(f"p_{name}"), cells)
+        return own.alias(f"of_{name}")
 
-    met = first("NOT linked", "probe", "x").join(first("true", "index", "y"), ["anchor", "e"])
     # what this pair must share, and so how far from the end its first shared element stands at least
     share = F.greatest(F.lit(1), F.ceil((F.col("s_x") + F.col("s_y") - apart_at_most * (F.col("m_x") + F.col("m_y"))) / 2 - 1e-9))
     early = (F.col("at_x") + share <= F.col("s_x")) & (F.col("at_y") + share <= F.col("s_y"))
-    pairs = met.where((F.col("x") != F.col("y")) & early).select("anchor", "x", "y").distinct()
+    sizes = 100 * F.least("m_x", "m_y") >= percent * F.greatest("m_x", "m_y")
+    alike = estimate(F.col("p_x"), F.col("p_y")) >= least_estimate(percent)
+    meet = F.expr("of_x.anchor = of_y.anchor AND of_x.e = of_y.e AND x <> y")
+    met = first("NOT linked", "probe", "x").join(first("true", "index", "y"), meet & early & sizes & alike)
+    pairs = met.select(F.col("of_x.anchor").alias("anchor"), "x", "y").distinct()
     x = rows.select("anchor", F.col("a").alias("x"), F.col("n_a").alias("n_x"), F.col("diff").alias("d_x"))
     y = rows.select("anchor", F.col("a").alias("y"), F.col("n_a").alias("n_y"), F.col("diff").alias("d_y"))
     both = pairs.join(x, ["anchor", "x"]).join(y, ["anchor", "y"])
@@ -287,7 +293,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = met.join(near, "id", "left").select("bucket", "id", "copies", F.coalesce("near", "id").alias("anchor"))
     across = cut(_across(members, nodes, percent))
     checked = _compared(_with_sets(across, sets), percent).where("linked").select("a", "b")
-    links = starred.unionAll(_among(anchored, percent)).unionAll(checked)
+    links = starred.unionAll(_among(anchored, nodes, percent)).unionAll(checked)
     groups = cut(components(links).join(nodes.select("id", "digest"), "id").select("digest", "component"))
     discard(met, candidates, sets, anchored, across)
     alone = nodes.select("digest", "id")
