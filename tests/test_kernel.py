@@ -215,3 +215,18 @@ def test_validators_disagree_with_changed_digits():
     assert checks.luhn("79927398713") and not any(checks.luhn(f"7992739871{d}") for d in "012456789")
     assert checks.iban("DE89370400440532013000") and not checks.iban("DE89370400440532013001")
     assert checks.ip_scope("fc00::1") == "private" and checks.ip_scope("2001:db8::1") == "public" and checks.ip_scope("x") is None
+
+
+@pytest.mark.parametrize(
+    "text, out",
+    [
+        ("Karte 4111111111111111 27.65.93.188 ab", "Karte <CREDIT_CARD_001> <PUBLIC_IP_001> ab"),
+        ("27.65.93.188 4111111111111111 ab", "<PUBLIC_IP_001> <CREDIT_CARD_001>ab"),
+        ("4111 1111 1111 1111 27.65.93.188, erst 4111111111111111, é​ 4111111111111111 27.65.93.188", "<CREDIT_CARD_001> <PUBLIC_IP_001>, erst <CREDIT_CARD_001>, é​ <CREDIT_CARD_001> <PUBLIC_IP_001>"),
+    ],
+)
+def test_what_shows_once_its_neighbour_is_replaced(detector, text, out):
+    s = Session(detector)
+    assert s.pseudonymize(text) == (out, [])
+    assert restore(out, s.entries)[0] == text
+    assert s.pseudonymize(f"{text} und <EMAIL_005>")[0] is None  # other leaks still withhold a text
