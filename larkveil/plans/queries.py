@@ -312,7 +312,7 @@ def pseudonymize_documents(spark, sf_dir):
 @query(f"SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({R.spans_sql('documents', 'doc_id', 'text', R.AWS_RE2)}))")
 def restore_round_trip(spark, sf_dir):
     """Texts rewritten and restored; those with redactions can't come back and are left out."""
-    done = _pseudonymized(spark, sf_dir).where("status = 'ok' AND NOT text RLIKE '<[A-Z_]+_REDACTED>'")
+    done = _pseudonymized(spark, sf_dir).where("status = 'ok' AND NOT coalesce(text RLIKE '<[A-Z_]+_REDACTED>', false)")
     return P.restore_texts(done).select("doc_id", "text")
 
 
