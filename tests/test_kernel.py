@@ -230,3 +230,17 @@ def test_what_shows_once_its_neighbour_is_replaced(detector, text, out):
     assert s.pseudonymize(text) == (out, [])
     assert restore(out, s.entries)[0] == text
     assert s.pseudonymize(f"{text} und <EMAIL_005>")[0] is None  # other leaks still withhold a text
+
+
+def test_a_text_that_stays_is_searched_once():
+    class Counting(Detector):
+        searched = 0
+
+        def detect(self, *given):
+            self.searched += 1
+            return super().detect(*given)
+
+    for text, n in (("nichts", 1), ("ein <EMAIL_005>", 1), ("an a@mail.example.com", 2), ("Karte 4111111111111111 27.65.93.188 ab", 4)):
+        d = Counting(Settings())
+        out, bad = Session(d).pseudonymize(text)
+        assert d.searched == n and (out is None) == ("EMAIL_005" in text) == bool(bad)
